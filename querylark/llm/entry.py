@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from querylark.llm import bpe, packing, token_counts, token_files
+from querylark.llm import bpe, language, near_duplicates, packing, quality, token_counts, token_files, winnowing
 from querylark.llm.common import documents
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), MULTI)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.deduplicate(documents(spark, sf_dir), k=4)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    predicted = language.predict(docs, language.train(docs, ~language.held_out()))
+    return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), PLAIN)
 
@@ -29,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op8_packing, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_winnowing, op3_quality, op6_near_duplicates, op7_language, op8_packing, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
