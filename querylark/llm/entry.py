@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from querylark.llm import bpe, language, near_duplicates, packing, quality, token_counts, token_files, winnowing
+from querylark.llm import bpe, language, near_duplicates, packing, pii, quality, token_counts, token_files, winnowing
 from querylark.llm.common import documents
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(documents(spark, sf_dir)))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.deduplicate(documents(spark, sf_dir), k=4)
 
@@ -47,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_winnowing, op3_quality, op6_near_duplicates, op7_language, op8_packing, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_winnowing, op3_quality, op4_pii, op6_near_duplicates, op7_language, op8_packing, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
