@@ -1,16 +1,71 @@
-"""Documents to packed training sequences."""
+"""Documents to packed training sequences: language, quality, near-duplicates, personal data, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querylark.llm import language, near_duplicates, packing, pii, quality
+from querylark.llm.common import chunks, materialize, semi, small_arrow_batches, texts
+from querylark.llm.entry import PLAIN
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; lang becomes the recognised language."""
+    small_arrow_batches(spark)
+    model = language.train(docs)
+    at = docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                lang, _, rejected = language.columns(texts(part), model)
+                columns = part.columns
+                columns[at] = pa.array(lang, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in their language's perplexity band."""
+    judged = materialize(quality.judge(docs).filter("not kept").select("doc_id").distinct())
+    return semi(docs, judged, "doc_id", "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates: five words, similarity 0.8."""
+    dropped = materialize(near_duplicates.deduplicate(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct())
+    return semi(docs, dropped, "doc_id", "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and secrets replaced by their kinds; n_chars follows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    clean = F.when(F.col("text").isNotNull(), pii.let(F.struct(text.alias("t"), pii.all_spans(text).alias("s")), lambda x: pii.redacted(x["t"], x["s"])))
+    marked = docs.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its sequence of at most 1024 tokens and its place there."""
+    return packing.pack(docs, PLAIN)
+
 
-STAGES: list = []
-#: No stage can be expressed in SQL.
+STAGES = [("language", identify_language), ("quality", filter_quality), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("packing", pack)]
+#: Subword models, perplexities and tokens have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querylark.llm import bpe, language, near_duplicates, packing, pii, quality, token_counts, token_files, winnowing
+from querylark.llm import bpe, language, near_duplicates, packing, pii, quality, token_counts, token_files, url_filter, winnowing
 from querylark.llm.common import documents
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +29,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(documents(spark, sf_dir)))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 366).cast("int")))
+    return url_filter.judge(captures, url_filter.sample_entries(pages))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.deduplicate(documents(spark, sf_dir), k=4)
 
@@ -51,8 +58,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_winnowing, op3_quality, op4_pii, op6_near_duplicates, op7_language, op8_packing, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_winnowing, op3_quality, op4_pii, op5_url_filter, op6_near_duplicates, op7_language, op8_packing, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.SQL}
