@@ -92,10 +92,9 @@ class Analyzer:
     native: bool = True
 
 
-def _stemmed(name: str, fn: Callable[[str], str], folded: bool = False) -> Analyzer:
-    del folded
-    udf = _by_term(fn)
-    return Analyzer(name, lambda c: udf(_spaced(F.lower(c))), lambda t: [fn(w) for w in plain(t)], native=False)
+def _stemmed(name: str, fn: Callable[[str], str]) -> Analyzer:
+    # the Arrow function is made when it is first used: that needs a session
+    return Analyzer(name, lambda c: _by_term(fn)(_spaced(F.lower(c))), lambda t: [fn(w) for w in plain(t)], native=False)
 
 
 def _whole(v: Column) -> Column:

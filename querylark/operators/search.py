@@ -128,7 +128,7 @@ class Index:
             parts = [F.col(f"`{k}`").cast("string") for k in keys]
             df = df.withColumn("id", F.when(F.array_contains(F.array(*[p.isNull() for p in parts]), F.lit(True)), F.lit(None)).otherwise(F.concat_ws("|", *parts)))
         self.df = df
-        self.source = Source(self.schema, df.columns)
+        self.source = Source(self.schema, dict(df.dtypes))
 
     # ---- derived tables
 

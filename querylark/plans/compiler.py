@@ -53,8 +53,14 @@ class Source:
 
     ANALYSED = "_terms_"
 
-    def __init__(self, schema: Schema, columns: list[str]):
-        self.schema, self.columns = schema, set(columns)
+    def __init__(self, schema: Schema, kinds: dict[str, str]):
+        self.schema, self.columns, self.kinds = schema, set(kinds), kinds
+
+    def instant(self, f: Field, seconds: int) -> Column:
+        """A date literal of the column's kind, so that neither side is cast and no session time zone matters."""
+        if any(k in self.kinds.get(f.name, "") for k in ("ntz", "date")):
+            return F.expr(f"TIMESTAMP_NTZ '{dates.rfc3339(seconds)[:-1].replace('T', ' ')}'")
+        return F.timestamp_seconds(F.lit(seconds))
 
     def value(self, f: Field) -> Column:
         return F.col(f"`{f.name}`")
@@ -294,7 +300,7 @@ class Compiler:
     def compare(self, f: Field, c: Column, op: str, value: object) -> Column:
         """One comparison of a scalar; dates have whole seconds, addresses are compared by key."""
         if f.type == DATE:
-            at = lambda s: F.timestamp_seconds(F.lit(s))
+            at = lambda s: self.source.instant(f, s)
             if op == "==":
                 return (c >= at(value)) & (c < at(value + 1))
             if op == ">":
