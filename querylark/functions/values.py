@@ -46,7 +46,7 @@ def parse_date(c: Column, slash: str = MONTH_FIRST, dot: str = DAY_FIRST) -> Col
               .when(digits.isin(10, 11) & F.expr("1=1") & t.try_cast("bigint").between(946_684_800, 10_000_000_000), F.timestamp_seconds(t.try_cast("bigint"))).when(digits == 4, F.try_to_timestamp(t, F.lit("yyyy"))))
         .when(t.rlike(r"^\d{4}-\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM")))
     )
-    return clamp_date(found)
+    return let(found, clamp_date)
 
 
 def clamp_date(c: Column) -> Column:
