@@ -506,3 +506,90 @@ for _lang, _word in (("en", "things"), ("de", "heiten"), ("fr", "mentes"), ("es"
         return stemmed(spark, sf).filter(f"text_{lang}:{word}").select("doc_id", "lang")
 
     QUERIES[f"stem_{_lang}"] = _stem
+
+
+# ---- cells, ids, reshaping
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS n, CASE WHEN event_id % 4 = 1 THEN true ELSE NULL END AS yes FROM events")
+def typed_cells(spark, sf):
+    k = F.col("event_id") % 4
+    cell = F.when(k == 0, "N/A").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    said = F.when(k == 1, "YES").when(k == 2, "perhaps").otherwise("-")
+    return read(spark, sf, "events").select("event_id", values.typed(cell, "i64").alias("n"), values.typed(said, "boolean").alias("yes"))
+
+
+@query("SELECT count_if(day(o_orderdate) > 12) AS day_first, 0::BIGINT AS month_first FROM orders")
+def date_order_evidence(spark, sf):
+    said = F.date_format("o_orderdate", "dd/MM/yyyy")
+    e = values.order_evidence(F.col("c"))
+    return read(spark, sf, "orders").select(said.alias("c")).agg(e["slash_day"].alias("day_first"), e["slash_month"].alias("month_first"))
+
+
+@query("SELECT count(*) AS out_of_range FROM orders WHERE o_orderkey % 3 = 0")
+def dates_out_of_range(spark, sf):
+    far = F.when(F.col("o_orderkey") % 3 == 0, F.expr("TIMESTAMP '2999-01-01 00:00:00'")).otherwise(F.col("o_orderdate").cast("timestamp"))
+    return read(spark, sf, "orders").agg(F.count_if(values.out_of_range(far)).alias("out_of_range"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events WHERE event_id < 500")
+def epoch_dates(spark, sf):
+    e = read(spark, sf, "events").filter("event_id < 500")
+    return e.select("event_id", F.unix_timestamp(values.epoch_date(F.unix_timestamp("ts"))).alias("seconds"))
+
+
+@query("SELECT 'o_orderkey' AS id")
+def choose_id(spark, sf):
+    cells = read(spark, sf, "orders").select(*[F.col(c).cast("string") for c in ("o_custkey", "o_orderstatus", "o_orderkey")])
+    return spark.createDataFrame([("|".join(infer.choose_id(infer.profile(cells))),)], "id string")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE event_id < 2000")
+def object_values(spark, sf):
+    from querylark.functions.reshape import object_values as of
+
+    return read(spark, sf, "events").filter("event_id < 2000").select("event_id", F.get(of(F.col("props")), F.lit(0)).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 60 + l_linenumber AS seconds FROM lineitem WHERE l_quantity < 4")
+def durations(spark, sf):
+    from querylark.functions.reshape import duration_seconds
+
+    rows = read(spark, sf, "lineitem").filter("l_quantity < 4")
+    said = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(":"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
+    return rows.select("l_orderkey", "l_linenumber", duration_seconds(said).alias("seconds"))
+
+
+@query("SELECT form, lemma, n FROM (SELECT lower(p_brand) AS form, lower(p_type) AS lemma, count(*) AS n, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY count(*) DESC, lower(p_type)) AS k FROM part GROUP BY 1, 2) WHERE k = 1")
+def lexicon_lemmas(spark, sf):
+    from querylark.analysis.lexicon import lemmas
+
+    return lemmas(read(spark, sf, "part").select(F.col("p_brand").alias("form"), F.col("p_type").alias("lemma")))
+
+
+@query("SELECT 'documents' AS index, count(*) AS documents FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
+def catalog_statistics(spark, sf):
+    return reduce_union([index(spark, sf, t).statistics().select("index", "documents") for t in ("documents", "pages")])
+
+
+@query("SELECT o_custkey % 1000 AS k, count(*) AS n FROM orders GROUP BY 1")
+def routing(spark, sf):
+    routed = writes.route(read(spark, sf, "orders").withColumn("k", F.col("o_custkey") % 1000), 8, "k")
+    per_shard = routed.groupBy("k", F.spark_partition_id().alias("shard")).agg(F.count("*").alias("n"))
+    return per_shard.groupBy("k").agg(F.max("n").alias("n"))  # equal keys meet in one shard, so its count is the whole
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01'")
+def retention_expired(spark, sf):
+    return retention.expired(read(spark, sf, "orders"), "o_orderdate", "1995-06-01").select("o_orderkey")
+
+
+@query(f"SELECT doc_id FROM {DOCS} WHERE lang = 'en' AND contains(s, ' of the ') AND NOT contains(s, ' and ') ORDER BY doc_id")
+def strict_mode(spark, sf):
+    i = index(spark, sf, "documents")
+    return i.search('+text:"of the" -text:and +lang:en limit 10000 return doc_id', strict=True).df
+
+
+def reduce_union(parts_: list[DataFrame]) -> DataFrame:
+    out = parts_[0]
+    for p in parts_[1:]:
+        out = out.unionByName(p)
+    return out
