@@ -13,7 +13,7 @@ def object_values(c: Column) -> Column:
 
 def split_list(c: Column, separator: str = ",") -> Column:
     """Trimmed, non-empty parts of a cell."""
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def duration_seconds(c: Column) -> Column:

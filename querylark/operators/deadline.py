@@ -17,13 +17,13 @@ class DeadlineExceeded(TimeoutError):
 @contextmanager
 def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
     """Jobs started in the block by this thread carry a tag and are cancelled together."""
-    sc, tag, over = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+    tag, over = f"deadline-{uuid.uuid4().hex}", threading.Event()
 
     def cancel() -> None:
         over.set()
-        sc.cancelJobsWithTag(tag)
+        spark.interruptTag(tag)
 
-    sc.addJobTag(tag)
+    spark.addTag(tag)
     timer = threading.Timer(seconds, cancel)
     timer.start()
     try:
@@ -34,4 +34,4 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
         raise
     finally:
         timer.cancel()
-        sc.removeJobTag(tag)
+        spark.removeTag(tag)
