@@ -16,22 +16,23 @@ class DeadlineExceeded(TimeoutError):
 
 @contextmanager
 def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
-    """Jobs started in the block by this thread carry a tag and are cancelled together."""
-    tag, over = f"deadline-{uuid.uuid4().hex}", threading.Event()
+    """Jobs started in the block by this thread form a group and are cancelled together."""
+    sc, group, over = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+    before = sc.getLocalProperty("spark.jobGroup.id")
 
     def cancel() -> None:
         over.set()
-        spark.interruptTag(tag)
+        sc._jsc.sc().cancelJobGroupAndFutureJobs(group)  # also one that is only being planned
 
-    spark.addTag(tag)
+    sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
     timer = threading.Timer(seconds, cancel)
     timer.start()
     try:
-        yield tag
+        yield group
     except Exception as e:
         if over.is_set():
             raise DeadlineExceeded(f"not done within {seconds} s") from e
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc.setLocalProperty("spark.jobGroup.id", before)
