@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=language.CHUNK):
                 lang, _, rejected = language.columns(texts(part), model)
                 columns = part.columns
                 columns[at] = pa.array(lang, pa.string())

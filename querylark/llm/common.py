@@ -73,12 +73,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def per_chunk(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, column: str = "text") -> Callable:
+def per_chunk(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, column: str = "text", most: int = CHUNK_BYTES) -> Callable:
     """A mapInArrow function from one that turns a chunk into columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, most):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 

@@ -23,6 +23,8 @@ LANGUAGES = 200
 #: Share of rightly predicted calibration documents that may fall below the rejection threshold.
 FALSE_REJECTS = 0.0005
 UNKNOWN = "und"
+#: Text handled at once, in bytes: each character gives four rows of the table.
+CHUNK = 1 << 18
 
 
 @dataclass
@@ -105,7 +107,7 @@ def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, tex
         return {"lang": part.column("lang"), "bucket": b, "share": s, "later": part.column("later")}
 
     later = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(5)) == 0
-    got = own.filter(chosen).select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema), "lang string, bucket binary, share binary, later boolean").limit(2 * rows).collect()
+    got = own.filter(chosen).select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(2 * rows).collect()
     data = [(r["lang"], np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4"), r["later"]) for r in got]
     return sorted((d for d in data if len(d[1])), key=lambda d: (d[0], d[1].tobytes(), d[2].tobytes()))
 
@@ -192,7 +194,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         lang, score, rejected = columns(texts(part), model)
         return {"doc_id": part.column("doc_id").cast(pa.int64()), "lang_pred": lang, "score": score, "rejected": rejected}
 
-    return own.mapInArrow(per_chunk(run, schema), "doc_id long, lang_pred string, score double, rejected boolean")
+    return own.mapInArrow(per_chunk(run, schema, most=CHUNK), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
