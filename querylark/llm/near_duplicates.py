@@ -160,9 +160,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels.toDF("doc_id", "component")
 
 
-def across(groups: DataFrame) -> DataFrame:
+def across(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within a key's group (key, doc_id, component, signature, n_shingles, size) whose signatures
-    are within the distance, each once. A group of more than BLOCK members is split by a hash of the id into blocks, and each pair of
+    are within the distance and whose sets' sizes allow the similarity (it is at most the smaller size over the larger), each once. A group of more than BLOCK members is split by a hash of the id into blocks, and each pair of
     blocks is compared in a task of its own."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
@@ -178,7 +178,7 @@ def across(groups: DataFrame) -> DataFrame:
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         a, b = [], []
         for x in range(len(ids)):
-            y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((own != own[x]) | same) & (5 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x])))
+            y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((own != own[x]) | same) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
             if len(y):
                 y = y[(s[y] != s[x]).sum(axis=1) <= DISTANCE]
                 a.append(np.full(len(y), ids[x]))
@@ -235,7 +235,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     member = materialize(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     groups = member.join(mixed, "key").join(labelled.select("doc_id", "signature", "n_shingles"), "doc_id")
-    second = materialize(across(groups).join(first, ["a", "b"], "left_anti"))
+    second = materialize(across(groups, percent).join(first, ["a", "b"], "left_anti"))
     more = materialize(confirmed(second, own, k, percent))
     if not more.isEmpty():
         links = links.union(more)
