@@ -4,8 +4,9 @@ modified Kneser-Ney model of its language.
 The model is over runs of four character classes (64 classes: space, letters, digits, marks; case folded), which Spark counts over
 all documents; lower orders take continuation counts. A language's probabilities and back-off weights are stored in arrays
 sorted by the 64-bit hash of their n-gram and found by binary search. An n-gram is 24 bits, so a language's arrays hold
-at most 2^24 entries (in practice some 10^5). Texts outside the language's band of log perplexity, on either side, are rejected;
-the bands come from all documents of the language.
+at most 2^24 entries (in practice some 10^5). A text's perplexity is that of its words: marks within words add to it, marks as
+words take from it, while both leave the mean over characters nearly as it is. Texts outside their language's band, on either side,
+are rejected; the bands come from all documents of the language.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylark.llm.common import chunks, filesystem, materialize, mix, narrow, shared_dir, shingle_hashes, small_arrow_batches, texts, word_hashes
@@ -28,9 +29,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: A band reaches so many robust deviations below and above the language's median. Above is further, since clean texts that
 #: quote another language lie there.
-BELOW, ABOVE = 5.0, 10.0
-#: Deviation of log perplexity between long documents, which no length averages out.
-BETWEEN = 0.015
+BELOW, ABOVE = 5.5, 8.0
+#: Relative deviation of a word's cost between long documents, which no length averages out.
+BETWEEN = 0.03
 
 
 @functools.cache
@@ -249,17 +250,23 @@ def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return own.mapInArrow(run, f"doc_id long, lang string, n_chars long, {FEATURES}")
 
 
-def _deviation():
-    """Expected deviation of a text's log perplexity: between documents, and of the mean over its characters."""
-    return F.sqrt(F.lit(BETWEEN**2) + F.greatest("char_variance", F.lit(0.0)) / F.greatest("n_chars", F.lit(1)))
+def _cost() -> Column:
+    """Mean negative log probability of a word: that of the text's characters over its words."""
+    return F.col("log_perplexity") * F.col("n_chars") / F.greatest("n_words", F.lit(1))
+
+
+def _deviation() -> Column:
+    """Expected relative deviation of the cost: between documents, and of a mean over the text's words."""
+    return F.sqrt(F.lit(BETWEEN**2) + F.greatest("word_variance", F.lit(0.0)) / F.greatest("n_words", F.lit(1)))
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """lang, middle (median log perplexity), char_variance, spread (robust scale of deviations) over the documents of the
-    language that pass the base rules."""
-    own = scored.filter(~F.col("base_failed"))
-    middle = own.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"), F.avg("log_variance").alias("char_variance"))
-    off = own.join(middle, "lang").withColumn("off", F.abs(F.col("log_perplexity") - F.col("middle")) / _deviation())
+    """lang, middle (median logarithm of the cost), word_variance (relative), spread (robust scale of deviations) over the documents
+    of the language that pass the base rules."""
+    own = scored.filter(~F.col("base_failed") & (F.col("log_perplexity") > 0)).withColumn("cost", _cost())
+    relative = F.col("log_variance") * F.col("n_chars") / F.col("n_words") / (F.col("cost") * F.col("cost"))
+    middle = own.groupBy("lang").agg(F.log(F.percentile_approx("cost", 0.5, 10_000)).alias("middle"), F.avg(relative).alias("word_variance"))
+    off = own.join(middle, "lang").withColumn("off", F.abs(F.log("cost") - F.col("middle")) / _deviation())
     spread = off.groupBy("lang").agg(F.greatest(1.4826 * F.percentile_approx("off", 0.5, 10_000), F.lit(0.1)).alias("spread"))
     return middle.join(spread, "lang")
 
@@ -272,10 +279,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     the band of the language, which is wider for short texts."""
     scored = materialize(score(docs, build(docs, text_col, lang_col), id_col, text_col, lang_col))
     out = scored.join(materialize(bands(scored)), "lang", "left")
-    unit = F.col("spread") * _deviation()
-    low, high = F.col("middle") - BELOW * unit, F.col("middle") + ABOVE * unit
-    inside = F.coalesce(F.col("log_perplexity").between(low, high), F.lit(False))
+    unit, cost = F.col("spread") * _deviation(), _cost()
+    low, high = F.exp(F.col("middle") - BELOW * unit), F.exp(F.col("middle") + ABOVE * unit)
+    inside = F.coalesce(cost.between(low, high), F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
-        F.exp("log_perplexity").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"),
+        F.exp(cost).alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"),
     )
