@@ -239,10 +239,10 @@ page("past_the_end", "region", "* limit 10 offset 50 return r_name", "SELECT r_n
 page("project_order", "customer", "c_mktsegment:BUILDING sort c_acctbal:desc limit 5 return c_acctbal, c_custkey", "SELECT c_acctbal, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR) LIMIT 5")
 
 
-@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, CAST(doc_id AS VARCHAR) LIMIT 500")
+@query("SELECT doc_id, CAST(quality AS VARCHAR) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY labels.quality DESC NULLS LAST, CAST(doc_id AS VARCHAR) LIMIT 500")
 def sort_nulls_last(spark, sf):
     df = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return Index("labelled", df, id_from=["doc_id"]).search("* sort quality:desc limit 500 return doc_id, quality").df
+    return Index("labelled", df, id_from=["doc_id"]).search("* sort quality:desc limit 500 return doc_id, quality").df.select("doc_id", F.col("quality").cast("string").alias("quality"))
 
 
 @query("SELECT vec_id, round(embedding[1], 6) AS first FROM embeddings ORDER BY embedding[1], CAST(vec_id AS VARCHAR) LIMIT 10")
@@ -330,7 +330,7 @@ def percentiles(spark, sf):
 def array_cap(spark, sf):
     i = parts(spark, sf)
     hits = shape(i.filter("p_retailprice:>1500"), ["p_partkey", "words"], 1, [], False)
-    return hits.select("p_partkey", F.array_join("words", ",").alias("words"), F.coalesce(F.element_at("_truncated_arrays", "words"), F.size("words")).alias("full_size"))
+    return hits.select("p_partkey", F.array_join("words", ",").alias("words"), F.coalesce(F.element_at("_truncated_arrays", "words"), F.size("words")).cast("bigint").alias("full_size"))
 
 
 @query("SELECT p_partkey, CASE WHEN words[2] = 'blue' AND words[1] <> 'blue' THEN 'blue' ELSE words[1] END AS lead_word, array_to_string(list_filter([0, 1], lambda i: words[i + 1] = 'blue'), ',') AS positions FROM " + PARTS + " WHERE list_contains(words, 'blue')")
@@ -509,12 +509,12 @@ for _lang, _word in (("en", "things"), ("de", "heiten"), ("fr", "mentes"), ("es"
 
 
 # ---- cells, ids, reshaping
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS n, CASE WHEN event_id % 4 = 1 THEN true ELSE NULL END AS yes FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS VARCHAR) AS n, CASE WHEN event_id % 4 = 1 THEN 'true' ELSE NULL END AS yes FROM events")
 def typed_cells(spark, sf):
     k = F.col("event_id") % 4
     cell = F.when(k == 0, "N/A").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string")))
     said = F.when(k == 1, "YES").when(k == 2, "perhaps").otherwise("-")
-    return read(spark, sf, "events").select("event_id", values.typed(cell, "i64").alias("n"), values.typed(said, "boolean").alias("yes"))
+    return read(spark, sf, "events").select("event_id", values.typed(cell, "i64").cast("string").alias("n"), values.typed(said, "boolean").cast("string").alias("yes"))
 
 
 @query("SELECT count_if(day(o_orderdate) > 12) AS day_first, 0::BIGINT AS month_first FROM orders")
