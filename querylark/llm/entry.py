@@ -32,7 +32,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 366).cast("int")))
-    return url_filter.judge(captures, url_filter.sample_entries(pages))
+    judged = url_filter.judge(captures, url_filter.sample_entries(pages))
+    return judged.withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,5 +97,5 @@ asked AS (
 hits AS (
   SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM asked JOIN spans USING (pattern)
   WHERE since <= day AND (until IS NULL OR day < until) GROUP BY page_id)
-SELECT page_id, host, fetched, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists FROM captures LEFT JOIN hits USING (page_id)
+SELECT page_id, host, CAST(fetched AS VARCHAR) AS fetched, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists FROM captures LEFT JOIN hits USING (page_id)
 """
