@@ -1,10 +1,9 @@
 """Quality rules: counts of words, symbols, repeated lines and repeated word windows, and the perplexity of each text under a
 modified Kneser-Ney model of its language.
 
-The model is over runs of four character classes (64 classes: space, letters, digits, marks; case folded), which Spark counts over
-all documents; lower orders take continuation counts. A language's probabilities and back-off weights are stored in arrays
-sorted by the 64-bit hash of their n-gram and found by binary search. An n-gram is 24 bits, so a language's arrays hold
-at most 2^24 entries (in practice some 10^5). A text's perplexity is that of its words: marks within words add to it, marks as
+The model is over runs of six whole code points (module points), which Spark counts over all documents; it grows with them. A text
+is scored by the texts of the other half. The model over four of 64 character classes here has the same formula in a size that
+tests can sum up; nothing is judged by it. A text's perplexity is that of its words: marks within words add to it, marks as
 words take from it, while both leave the mean over characters nearly as it is. Texts outside their language's band, on either side,
 are rejected; the bands come from all documents of the language.
 """
@@ -16,13 +15,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylark.llm.common import chunks, filesystem, materialize, mix, narrow, shared_dir, shingle_hashes, small_arrow_batches, texts, word_hashes
+from querylark.llm import points
+from querylark.llm.common import chunks, materialize, mix, shingle_hashes, small_arrow_batches, texts, word_hashes
 
 ORDER, BITS = 4, 6
 SYMBOLS = np.zeros(256, bool)
@@ -68,38 +66,6 @@ def codes(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], np.concatenate(([0], np.cumsum(size)))
 
 
-def count(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, code, n over all documents, added up in each task before the shuffle. A null language counts as ''."""
-    small_arrow_batches(docs.sparkSession)
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            value, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return value, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-        for batch in batches:
-            for part in chunks(batch):
-                langs = part.column("lang").fill_null("").to_pylist()
-                many = texts(part)
-                for lang in sorted(set(langs)):
-                    code, _ = codes([t for t, x in zip(many, langs) if x == lang])
-                    own = held.setdefault(lang, [])
-                    own.append(np.unique(code, return_counts=True))
-                    if len(own) > 8:  # at most 2^24 n-grams stay
-                        own[:] = [merged(own)]
-        for lang, parts in held.items():
-            value, n = merged(parts)
-            for a in range(0, len(value), 100_000):
-                b = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value[b])), pa.array(value[b], pa.int32()), pa.array(n[b])], schema=schema)
-
-    own = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    return own.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
 def _key(order: int, kind: int, code: np.ndarray) -> np.ndarray:
     return mix(code.astype(np.uint64) | np.uint64(order << 40 | kind << 48))
 
@@ -130,33 +96,6 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[order], values[order].astype(np.float32)
 
 
-def build(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> str:
-    """Counts, and writes each language's arrays to a folder that all executors see."""
-    counted = materialize(count(docs, text_col, lang_col))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf["code"].to_numpy())
-        keys, values = kneser_ney(pdf["code"].to_numpy()[order], pdf["n"].to_numpy()[order])
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "keys": [keys.astype("<u8").tobytes()], "logs": [values.astype("<f4").tobytes()]})
-
-    folder = shared_dir(docs.sparkSession)
-    counted.groupBy("lang").applyInPandas(one, "lang string, keys binary, logs binary").write.parquet(folder)
-    return folder
-
-
-_models: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
-
-
-def load(folder: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Arrays by language, read once in each Python worker."""
-    if folder not in _models:
-        fs, root = filesystem(folder)
-        _models.clear()
-        rows = pq.read_table(root, filesystem=fs).to_pylist()
-        _models[folder] = {r["lang"]: (np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["logs"], "<f4")) for r in rows}
-    return _models[folder]
-
-
 def log_probability(model: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
     """Natural logarithm of each n-gram's probability, by back-off where it wasn't seen."""
     keys, logs = model
@@ -206,8 +145,8 @@ def repeated_lines(text: str) -> int:
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, log_variance double"
 
 
-def features(part: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
-    """The columns of FEATURES for a chunk with columns text and lang."""
+def features(part: pa.RecordBatch, model: dict[tuple[str, int], points.Model]) -> dict:
+    """The columns of FEATURES for a chunk with columns text and lang. Each text's model is that of the other fold."""
     many, langs = texts(part), part.column("lang").fill_null("").to_pylist()
     h, cut = word_hashes(part, fold=False)
     raw = np.frombuffer("".join(many).encode(), np.uint8)
@@ -219,15 +158,11 @@ def features(part: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray
     n_words = np.diff(cut)
     repeat = np.array([repeated_words(h[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())], np.int64)
     mean, var = np.zeros(len(many)), np.zeros(len(many))
-    for lang in sorted(set(langs)):
-        own = [i for i, x in enumerate(langs) if x == lang and many[i]]
-        if own and lang in model:
-            code, begin = codes([many[i] for i in own])
-            unique, back = np.unique(code, return_inverse=True)
-            logs = log_probability(model[lang], unique)[back]
-            n = np.diff(begin)
-            mean[own] = -np.add.reduceat(logs, begin[:-1]) / n
-            var[own] = np.add.reduceat(logs**2, begin[:-1]) / n - mean[own] ** 2
+    folds = [points.fold(t) for t in many]
+    for lang, f in sorted(set(zip(langs, folds))) if model else []:
+        own = [i for i, x in enumerate(zip(langs, folds)) if x == (lang, f) and many[i]]
+        if own:
+            mean[own], var[own] = points.costs([many[i] for i in own], model.get((lang, 1 - f)))
     return {
         "n_words": n_words, "word_chars": inner[at[1:]] - inner[at[:-1]], "n_symbols": signs[at[1:]] - signs[at[:-1]], "n_dup_lines": [repeated_lines(t) for t in many],
         "n_repeat_words": repeat, "base_failed": (n_words < 10) | (100 * repeat > 20 * n_words), "log_perplexity": mean, "log_variance": var,
@@ -243,7 +178,7 @@ def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                got = features(part, load(folder)) | {"doc_id": part.column("doc_id").cast(pa.int64()), "lang": part.column("lang").fill_null(""), "n_chars": [len(t) for t in texts(part)]}
+                got = features(part, points.load(folder)) | {"doc_id": part.column("doc_id").cast(pa.int64()), "lang": part.column("lang").fill_null(""), "n_chars": [len(t) for t in texts(part)]}
                 yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in schema], schema=schema)
 
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
@@ -277,7 +212,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A null text is empty: no words, base_failed. A null language is a language of its own. Repeated rows are counted and
     judged each; null doc_ids are carried. An empty table gives no rows. Kept: the base rules pass and the perplexity lies within
     the band of the language, which is wider for short texts."""
-    scored = materialize(score(docs, build(docs, text_col, lang_col), id_col, text_col, lang_col))
+    scored = materialize(score(docs, points.build(docs, text_col, lang_col), id_col, text_col, lang_col))
     out = scored.join(materialize(bands(scored)), "lang", "left")
     unit, cost = F.col("spread") * _deviation(), _cost()
     low, high = F.exp(F.col("middle") - BELOW * unit), F.exp(F.col("middle") + ABOVE * unit)
