@@ -1,9 +1,11 @@
 """Language identification: hashed subword embeddings, averaged over the whole text, with a linear softmax; trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents; temperature and rejection threshold are calibrated on
-labelled documents that training doesn't see."""
+labelled documents that training doesn't see. One more class learns what is no language of the sample from texts made of the
+labelled ones: letters out of order, exchanged for others, or of another script."""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ CHUNK = 1 << 18
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # (BUCKETS, languages): embeddings times output weights, so a text's logits are a mean of rows
+    table: np.ndarray  # (BUCKETS, languages and one for none of them): embeddings times output weights, so a text's logits are a mean of rows
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -80,8 +82,37 @@ def has_letter(many: list[str]) -> list[bool]:
     return [any(map(str.isalpha, t)) for t in many]
 
 
-def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
-    """(language, buckets, shares, whether for calibration) of at most `rows` labelled documents, by a hash of doc_id."""
+def unlike(text: str) -> str:
+    """A text of no language: letters shuffled, or each exchanged for another one of the alphabet or of some script."""
+    seed = zlib.crc32(text.encode())
+    r = np.random.default_rng(seed)
+    text = text.lower()
+    at = [i for i, c in enumerate(text) if c.isalpha()]
+    kind = seed >> 1 & 3
+    if kind == 0:
+        new = [text[at[i]] for i in r.permutation(len(at))]
+    else:
+        known = sorted({text[i] for i in at})
+        if kind == 1:
+            to = [known[i] for i in r.permutation(len(known))]
+        elif kind == 2:  # letters evenly
+            to = None
+            new = [chr(97 + i) for i in r.integers(0, 26, len(at))]
+        else:
+            first = int(r.choice([0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x3041, 0x4E00, 0xAC00]))
+            to = [chr(first + i) for i in r.integers(0, 26, len(known))]
+        if to is not None:
+            exchange = dict(zip(known, to))
+            new = [exchange[text[i]] for i in at]
+    out = list(text)
+    for i, c in zip(at, new):
+        out[i] = c
+    return "".join(out)
+
+
+def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, text_col: str, lang_col: str) -> list[tuple[str | None, np.ndarray, np.ndarray, bool]]:
+    """(language, buckets, shares, whether for calibration) of at most `rows` labelled documents, by a hash of doc_id.
+    For every other one also one unlike() it, without language."""
     small_arrow_batches(docs.sparkSession)
     own = narrow(docs if eligible is None else docs.filter(eligible), id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -98,27 +129,29 @@ def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, tex
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.binary()), ("share", pa.binary()), ("later", pa.bool_())])
 
     def run(part: pa.RecordBatch) -> dict:
-        ids, cut = grams(texts(part))
+        many, langs, late = texts(part), part.column("lang").to_pylist(), part.column("later").to_pylist()
+        made = [i for i, t in enumerate(many) if zlib.crc32(t.encode()) & 1]
+        ids, cut = grams(many + [unlike(many[i]) for i in made])
         b, s = [], []
         for a, z in zip(cut, cut[1:]):
             u, c = np.unique(ids[a:z], return_counts=True)
             b.append(u.astype("<u2").tobytes())
             s.append((c / max(1, z - a)).astype("<f4").tobytes())
-        return {"lang": part.column("lang"), "bucket": b, "share": s, "later": part.column("later")}
+        return {"lang": langs + [None] * len(made), "bucket": b, "share": s, "later": late + [late[i] for i in made]}
 
     later = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(5)) == 0
-    got = own.filter(chosen).select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(2 * rows).collect()
+    got = own.filter(chosen).select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(4 * rows).collect()
     data = [(r["lang"], np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4"), r["later"]) for r in got]
-    return sorted((d for d in data if len(d[1])), key=lambda d: (d[0], d[1].tobytes(), d[2].tobytes()))
+    return sorted((d for d in data if len(d[1])), key=lambda d: (d[0] or "", d[1].tobytes(), d[2].tobytes()))
 
 
-def fit(data: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
-    langs = sorted({d[0] for d in data})
+def fit(data: list[tuple[str | None, np.ndarray, np.ndarray, bool]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
+    langs = sorted({d[0] for d in data if d[0] is not None})
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    w = rng.normal(0, 0.1, (dim, len(langs))).astype(np.float32)
-    bias = np.zeros(len(langs), np.float32)
-    index = {x: i for i, x in enumerate(langs)}
+    w = rng.normal(0, 0.1, (dim, len(langs) + 1)).astype(np.float32)
+    bias = np.zeros(len(langs) + 1, np.float32)
+    index = {x: i for i, x in enumerate([*langs, None])}
     train = [d for d in data if not d[3]] or data
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
@@ -151,9 +184,14 @@ def fit(data: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, epo
         q = z / model.temperature
         p = np.exp(q - q.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        right = p.argmax(axis=1) == y
-        least = np.quantile(p.max(axis=1)[right], FALSE_REJECTS) if right.any() else 0.0
-        model.threshold = float(min(least, 1.2 / len(langs) if len(langs) > 2 else 0.55))
+        none = y == len(langs)
+        best = p[:, : len(langs)].argmax(axis=1)
+        top = p[np.arange(len(y)), best]
+        right = ~none & (best == y)
+        if right.any():  # midway between the lowest right score and the highest of no language below it
+            least = np.quantile(top[right], FALSE_REJECTS)
+            below = top[none & (top < least)]
+            model.threshold = float((least + below.max()) / 2 if len(below) else least)
     return model
 
 
@@ -167,7 +205,7 @@ def columns(many: list[str], model: Model) -> tuple[list[str], np.ndarray, np.nd
     ids, cut = grams(many)
     n = np.diff(cut)
     known = np.array(has_letter(many), bool) & (len(model.langs) > 0)
-    z = np.zeros((len(many), max(1, len(model.langs))), np.float32)
+    z = np.zeros((len(many), len(model.langs) + 1), np.float32)
     some = np.flatnonzero(n)
     if len(some) and len(model.langs):
         z[some] = np.add.reduceat(model.table[ids], cut[:-1][some], axis=0) / n[some, None]
@@ -176,8 +214,9 @@ def columns(many: list[str], model: Model) -> tuple[list[str], np.ndarray, np.nd
     z /= model.temperature
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    best = p.argmax(axis=1)
-    score = np.where(known, p.max(axis=1), 0.0)
+    of = p[:, : max(1, len(model.langs))]
+    best = of.argmax(axis=1)
+    score = np.where(known, of.max(axis=1), 0.0)
     return [model.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)], score.astype(np.float64), ~known | (score < model.threshold)
 
 
