@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -140,16 +141,20 @@ class Vocabulary:
     def __init__(self, path: str):
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
-                model = json.load(f)["model"]
+                whole = json.load(f)
+            model, added = whole["model"], {x["content"]: x["id"] for x in whole.get("added_tokens", [])}
             back = {c: b for b, c in _byte_characters().items()}
             vocab = model["vocab"]
-            self.tokens = [b""] * (max(vocab.values()) + 1)
+            self.tokens = [b""] * (max(*vocab.values(), *added.values()) + 1)
             for t, i in vocab.items():
                 self.tokens[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+            for t, i in added.items():
+                self.tokens[i] = t.encode()
             pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             table = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
             self.whole: dict[bytes, int] = {}
         else:
+            added = {}
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.tokens = [b""] * (max(ranks.values()) + 1)
@@ -162,6 +167,9 @@ class Vocabulary:
                     if a is not None and b is not None:
                         table[a, b] = (i, i)
             self.whole = ranks  # a piece that is a token is that token
+        #: Tokens beside the model, which stand in texts as they are; matched before pre-tokenisation, leftmost and longest first.
+        self.added = added
+        self.split_at = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.table = table
         keys = np.array([a << 20 | b for a, b in table], np.int64)
         order = np.argsort(keys)
@@ -315,6 +323,20 @@ class Vocabulary:
         cut = np.concatenate(([0], to))[np.searchsorted(starts, np.append(begins, len(cp)))].tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
+    def encode_with_added(self, many: list[str]) -> list[np.ndarray]:
+        """encode() between the file's added tokens, which get their own ids: what the tokenizers library does by default."""
+        if self.split_at is None:
+            return self.encode(many)
+        parts = [self.split_at.split(t) for t in many]  # every second one is an added token
+        ids = iter(self.encode([x for p in parts for x in p[::2]]))
+        out = []
+        for p in parts:
+            one = [next(ids)]
+            for t in p[1::2]:
+                one += [np.array([self.added[t]], "<u4"), next(ids)]
+            out.append(np.concatenate(one) if len(one) > 1 else one[0])
+        return out
+
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of each token in its text, and the text's length at the end."""
         return np.concatenate(([0], np.cumsum(self.size[ids])))
@@ -354,7 +376,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(part: pa.RecordBatch) -> dict:
         v = vocabulary(path)
-        ids = v.encode(texts(part))
+        ids = v.encode_with_added(texts(part))
         return {"doc_id": part.column("doc_id").cast(pa.int64()), "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "offsets": [v.offsets(x).astype("<u4").tobytes() for x in ids]}
 
     return narrow(docs, id_col, text_col).mapInArrow(per_chunk(run, schema), "doc_id long, n_tokens long, ids binary, offsets binary")
@@ -379,7 +401,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(part: pa.RecordBatch) -> dict:
         v = vocabulary(path)
-        ids = v.encode(texts(part))
+        ids = v.encode_with_added(texts(part))
         return {
             "doc_id": part.column("doc_id").cast(pa.int64()),
             "n_tokens": [len(x) for x in ids],

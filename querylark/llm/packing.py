@@ -194,7 +194,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
         for batch in batches:
             for part in chunks(batch):
                 rows = []
-                for d, x in zip(part.column("doc_id").to_pylist(), v.encode(texts(part))):
+                for d, x in zip(part.column("doc_id").to_pylist(), v.encode_with_added(texts(part))):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     ends = [*range(len(x) % capacity or capacity, len(x) + 1, capacity)]
                     for k, b in enumerate(ends):

@@ -20,7 +20,7 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
     schema = pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 
     def run(part: pa.RecordBatch) -> dict:
-        value, n = np.unique([len(x) for x in vocabulary(path).encode(texts(part))], return_counts=True)
+        value, n = np.unique([len(x) for x in vocabulary(path).encode_with_added(texts(part))], return_counts=True)
         return {"n_tokens": value, "n_docs": n}
 
     counted = docs.select(docs[text_col].alias("text")).mapInArrow(per_chunk(run, schema), "n_tokens long, n_docs long")

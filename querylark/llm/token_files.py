@@ -142,7 +142,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
             for part in chunks(batch):
                 known = part.column("doc_id").cast(pa.int64())
                 bucket = np.searchsorted(cut, known.fill_null(-(1 << 63)).to_numpy(), side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), known, pa.array([np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in v.encode(texts(part))], pa.binary())], schema=encoded_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), known, pa.array([np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in v.encode_with_added(texts(part))], pa.binary())], schema=encoded_schema)
 
     said = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
