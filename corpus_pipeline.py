@@ -32,16 +32,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.mapInArrow(run, docs.schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With a number of each row, written with the rows: doc_id may be null or repeated."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    judged = materialize(quality.judge(docs).filter("not kept").select("doc_id").distinct())
-    return semi(docs, judged, "doc_id", "left_anti")
+    rows = numbered(docs)
+    judged = materialize(quality.judge(rows, id_col="_row").filter("not kept").select(F.col("doc_id").alias("_row")))
+    return semi(rows, judged, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five words, similarity 0.8."""
-    dropped = materialize(near_duplicates.deduplicate(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct())
-    return semi(docs, dropped, "doc_id", "left_anti")
+    """The row with the smallest doc_id (null comes last) of each group of near-duplicates: five words, similarity 0.8."""
+    rows = numbered(docs)
+    found = near_duplicates.deduplicate(rows, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    groups = materialize(found.join(rows.select("_row", "doc_id"), "_row"))
+    first = groups.groupBy("component").agg(F.min(place)["_row"].alias("first"), F.count("*").alias("size")).filter("size > 1")
+    dropped = materialize(groups.join(first, "component").filter("_row <> first").select("_row"))
+    return semi(rows, dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
