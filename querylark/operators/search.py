@@ -191,8 +191,12 @@ class Index:
         """Which of the ids exist."""
         return ids.join(self.df.select("id"), "id", "left_semi")
 
-    def filter(self, query: str) -> DataFrame:
-        return self.df.filter(self.compiled(query).match)
+    def filter(self, query: str, strict: bool = False) -> DataFrame:
+        """Every match, without a page. strict refuses a query of which any clause is dropped."""
+        c = self.compiled(query)
+        if strict and c.notes:
+            raise QueryRefused("; ".join(c.notes))
+        return self.df.filter(c.match)
 
     def count(self, query: str) -> DataFrame:
         """One row: total_hits."""

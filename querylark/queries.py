@@ -224,7 +224,7 @@ matches("ghost_unqualified", ghosts, "und la", "doc_id", "(lang = 'en' OR lang =
 def shadow_field(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "lang")
     i = Index("shadow", docs, doc_id=Field("doc_id", "string", shadow=True, indexed=False), lang="string")
-    return i.search("doc_id:11 OR (doc_id:12* AND lang:en) limit 5000 return id, lang").df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
+    return i.filter("doc_id:11 OR (doc_id:12* AND lang:en)").select(F.col("id").cast("bigint").alias("doc_id"), "lang")
 
 
 # ---- order, window, projection
@@ -585,7 +585,7 @@ def retention_expired(spark, sf):
 @query(f"SELECT doc_id FROM {DOCS} WHERE lang = 'en' AND contains(s, ' of the ') AND NOT contains(s, ' and ') ORDER BY doc_id")
 def strict_mode(spark, sf):
     i = index(spark, sf, "documents")
-    return i.search('+text:"of the" -text:and +lang:en limit 10000 return doc_id', strict=True).df
+    return i.filter('+text:"of the" -text:and +lang:en', strict=True).select("doc_id")
 
 
 def reduce_union(parts_: list[DataFrame]) -> DataFrame:
