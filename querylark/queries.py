@@ -588,6 +588,38 @@ def strict_mode(spark, sf):
     return i.filter('+text:"of the" -text:and +lang:en', strict=True).select("doc_id")
 
 
+# ---- whole tables, of queries above whose SQL keeps to a part
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def epoch_dates_all(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.unix_timestamp(values.epoch_date(F.unix_timestamp("ts"))).alias("seconds"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events")
+def object_values_all(spark, sf):
+    from querylark.functions.reshape import object_values as of
+
+    return read(spark, sf, "events").select("event_id", F.get(of(F.col("props")), F.lit(0)).alias("value"))
+
+
+@query("SELECT doc_id, replace(strip_accents(lower(lang || ' ' || text)), 'ß', 'ss') AS folded FROM documents")
+def accent_fold_all(spark, sf):
+    c = TOKENIZERS["raw_fold"].column(F.concat_ws(" ", "lang", "text"))
+    return read(spark, sf, "documents").select("doc_id", F.substring(c, F.lit(2), F.length(c) - 2).alias("folded"))  # longer than the text where a letter becomes two
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 60 + l_linenumber AS seconds FROM lineitem")
+def durations_all(spark, sf):
+    from querylark.functions.reshape import duration_seconds
+
+    said = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(":"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", duration_seconds(said).alias("seconds"))
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS id FROM lineitem")
+def compose_id_all(spark, sf):
+    return writes.compose_id(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).select("id")
+
+
 def reduce_union(parts_: list[DataFrame]) -> DataFrame:
     out = parts_[0]
     for p in parts_[1:]:

@@ -1,5 +1,7 @@
 """Queries that return every match and run over whole tables."""
 
+import pytest
+
 from querylark import queries
 from querylark.operators import search
 
@@ -13,3 +15,8 @@ def test_no_row_cap_on_all_matches(spark, monkeypatch):
     assert queries.QUERIES["shadow_field"](spark, SF).count() == 10_000
     monkeypatch.setattr(queries, "index", lambda *_: search.Index("documents", many, doc_id="i64", text="text", lang="string", id_from=["doc_id"]))
     assert queries.QUERIES["strict_mode"](spark, SF).count() == 20_000
+
+
+@pytest.mark.parametrize("name, table", [("epoch_dates_all", "events"), ("object_values_all", "events"), ("accent_fold_all", "documents"), ("durations_all", "lineitem"), ("compose_id_all", "lineitem")])
+def test_every_row_of_the_table(spark, name, table):
+    assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
