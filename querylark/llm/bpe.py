@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from querylark.llm.common import P, P_INVERSE, mix, narrow, per_chunk, power, small_arrow_batches, texts
+from querylark.llm.common import _HEAD, CHUNK_BYTES, narrow, per_chunk, pieces, small_arrow_batches, texts
 
 # states of the automaton
 START, LETTER, NUMBER, OTHER, SPACES, PENDING, CON1, CON2 = range(8)
@@ -31,6 +31,9 @@ START, LETTER, NUMBER, OTHER, SPACES, PENDING, CON1, CON2 = range(8)
 C_L, C_N, C_O, C_A2, C_A3, C_W, C_S, C_V = range(8)
 START_FLAG = 8
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE_CLASS = "".join(f"\\U{c:08x}" for c in _WHITE)
+_GAP = re.compile(f"(?<=[^{_SPACE_CLASS}])[{_SPACE_CLASS}]")
+PART = CHUNK_BYTES
 _CONTRACTIONS = {"s": 2, "t": 2, "m": 2, "d": 2, "re": 3, "ve": 3, "ll": 3}
 
 
@@ -297,8 +300,19 @@ class Vocabulary:
         return got
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
-        """Ids of each text (unsigned 32-bit). Equal pieces of a chunk are found by 64-bit hashes from prefix sums and looked up
-        in the cache once."""
+        """Ids of each text (unsigned 32-bit). Texts beyond PART code points go in parts that begin at white space after something
+        else, where a piece always begins; so memory follows the part, or the longest run without white space."""
+        if not any(len(t) > PART for t in many):
+            return self.encode_parts(many)
+        out = []
+        for t in many:
+            parts = [x for p in pieces(t, _GAP, PART) for x in self.encode_parts([p])]
+            out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+        return out
+
+    def encode_parts(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Equal pieces of a chunk are looked up once: those of up to seven bytes are told apart by their bytes and
+        length in one integer, longer ones by the dictionary, so no hash is trusted."""
         joined = "".join(many)
         ends = np.cumsum([len(t) for t in many])
         begins = np.concatenate(([0], ends[:-1]))
@@ -307,17 +321,31 @@ class Vocabulary:
         if not len(starts):
             return [np.zeros(0, "<u4")] * len(many)
         stops = np.append(starts[1:], len(cp))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(cp) + 1, np.uint64)
-            np.cumsum((cp + np.uint64(1)) * power(P, len(cp)), out=sums[1:])
-            h = mix((sums[stops] - sums[starts]) * power(P_INVERSE, len(cp))[starts] + (stops - starts).astype(np.uint64) * P)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        got = self.encode_pieces([joined[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
+        raw = joined.encode()
+        if len(raw) == len(cp):
+            at = starts
+        else:
+            at = np.concatenate(([0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))))[starts]
+        length = np.diff(np.append(at, len(raw)))
+        lanes = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), 0, (1,))
+        short = np.flatnonzero(length < 8)
+        size = length[short].astype(np.uint64)
+        key = lanes[at[short]] & _HEAD[length[short]] | size << np.uint64(56)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        number = np.empty(len(starts), np.int64)
+        number[short] = which
+        found = [joined[a:b] for a, b in zip(starts[short[first]].tolist(), stops[short[first]].tolist())]
+        long = np.flatnonzero(length >= 8)
+        index: dict[str, int] = {}
+        texts_ = [joined[a:b] for a, b in zip(starts[long].tolist(), stops[long].tolist())]
+        number[long] = [index.setdefault(t, len(index)) for t in texts_]
+        number[long] += len(found)
+        got = self.encode_pieces([*found, *index])
         flat = np.frombuffer(b"".join(got), "<u4")
         size = np.array([len(x) for x in got]) >> 2
-        count = size[which]
+        count = size[number]
         to = np.cumsum(count)
-        where = np.repeat((np.cumsum(size) - size)[which] - (to - count), count)
+        where = np.repeat((np.cumsum(size) - size)[number] - (to - count), count)
         where += np.arange(len(where))
         ids = flat[where]
         cut = np.concatenate(([0], to))[np.searchsorted(starts, np.append(begins, len(cp)))].tolist()
@@ -342,11 +370,14 @@ class Vocabulary:
         return np.concatenate(([0], np.cumsum(self.size[ids])))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
-        """Bytes of the ids, put where the offsets say."""
-        size = np.diff(offsets)
-        where = np.repeat(self.place[ids] - offsets[:-1], size)
-        where += np.arange(len(where))
-        return self.all[where].tobytes()
+        """Bytes of the ids, put where the offsets say, PART ids at a time."""
+        out = []
+        for a in range(0, len(ids), PART):
+            some, to = ids[a : a + PART], offsets[a : a + PART + 1]
+            where = np.repeat(self.place[some] - (to[:-1] - to[0]), np.diff(to))
+            where += np.arange(len(where))
+            out.append(self.all[where].tobytes())
+        return b"".join(out)
 
 
 def _byte_characters() -> dict[int, str]:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import os
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Largest number of key rows that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of input for each range of ids where an order over all rows is needed.
+RANGE_BYTES = 128 << 20
+_made: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +31,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor reaches. Only where that is unset (tests) is a local folder set."""
+    """A new folder under spark.checkpoint.dir, which every executor reaches; a path without scheme is one of Hadoop's default file
+    system. Where it is unset, a local master (as in tests) gets a local folder, and a cluster is refused: an executor's own disk
+    would be lost with it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="querylark-")
         atexit.register(shutil.rmtree, root[7:], True)
         spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root}/querylark-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _made.append(f"{root}/querylark-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the folders that operators have made in this process; for when their results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -68,6 +85,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+def ranges(docs: DataFrame) -> int:
+    """How many ranges of ids: one for RANGE_BYTES of input as the plan estimates it, at least the shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), 1 << 20))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Null is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -97,6 +120,12 @@ def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, how)
 
 
+def semi_sized(df: DataFrame, more: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with a side of one row a key; it is broadcast only if counted to be at most BROADCAST_ROWS."""
+    n = more.limit(BROADCAST_ROWS + 1).count()
+    return df.join(F.broadcast(more) if n <= BROADCAST_ROWS else more, on, how)
+
+
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -113,12 +142,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLD = _BYTE.copy()
-_FOLD[65:91] = _BYTE[97:123]
+_SAME = np.arange(256, dtype=np.uint8)
+_FOLD = _SAME.copy()
+_FOLD[65:91] = _SAME[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Words up to so many bytes are hashed side by side, eight bytes at a time; the few longer ones by BLAKE2.
+_SHORT = 64
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first i bytes of a lane
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -135,11 +166,23 @@ def power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def pieces(text: str, cut: re.Pattern, most: int = CHUNK_BYTES) -> Iterator[str]:
+    """The text in parts of about `most` code points, each later one beginning where `cut` matches; without a match the part goes on."""
+    at = 0
+    while len(text) - at > most:
+        found = cut.search(text, at + most)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def word_hashes(batch: pa.RecordBatch, column: str = "text", fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a chunk, A-Z lower-cased if fold; and where each row's words start (rows + 1).
 
-    A word's hash comes from prefix sums of byte values times powers of an odd number, taken back by the inverse power at its
-    start, mixed with its length: no loop over words."""
+    A word's bytes are taken in lanes of eight and mixed after each lane, so no pattern of letters makes two words alike as it does for
+    sums of powers; two different words have equal hashes with a probability of 2^-64."""
     col = batch.column(column).fill_null("").cast(pa.large_string())
     _, off, data = col.buffers()
     off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
@@ -148,20 +191,30 @@ def word_hashes(batch: pa.RecordBatch, column: str = "text", fold: bool = True)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(col) + 1, np.int64)
     word = ~_IS_SPACE[raw]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    at_start = off[(off > 0) & (off < len(raw))]
-    first[at_start] |= word[at_start]  # a row's text may begin right after the end of another
-    starts = np.flatnonzero(first)
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    last[at_start - 1] |= word[at_start - 1]
-    ends = np.flatnonzero(last) + 1
+    at_start = off[(off > 0) & (off < len(raw))]  # a row's text may begin right after the end of another
+    edge = word.copy()
+    edge[1:] &= ~word[:-1]
+    edge[at_start] |= word[at_start]
+    starts = np.flatnonzero(edge)
+    edge[:] = word
+    edge[:-1] &= ~word[1:]
+    edge[at_start - 1] |= word[at_start - 1]
+    ends = np.flatnonzero(edge) + 1
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_FOLD if fold else _SAME, raw, out=padded[: len(raw)])
+    lanes = np.ndarray(len(raw) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from each position on
+    size = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((_FOLD if fold else _BYTE)[raw] * power(P, len(raw)), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * power(P_INVERSE, len(raw))[starts]
-        h = mix(h + (ends - starts).astype(np.uint64) * _C1)
+        h = size.astype(np.uint64) * P
+        todo = np.flatnonzero(size <= _SHORT)
+        for j in range(0, _SHORT, 8):
+            todo = todo[size[todo] > j] if j else todo
+            if not len(todo):
+                break
+            lane = lanes[starts[todo] + j] & _HEAD[np.minimum(size[todo] - j, 8)]
+            h[todo] = mix((h[todo] ^ lane) + _C2 * np.uint64(j + 1))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return h, np.searchsorted(starts, off)
 
 

@@ -5,7 +5,9 @@ labelled ones: letters out of order, exchanged for others, or of another script.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,19 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylark.llm.bpe import C_L, class_table
-from querylark.llm.common import mix, narrow, per_chunk, small_arrow_batches, texts
+from querylark.llm.common import mix, narrow, per_chunk, pieces, semi_sized, small_arrow_batches, texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: Most labelled documents that training and calibration see, spread over the languages.
 SAMPLE_ROWS = 4000
-#: Languages learned at most: the most frequent.
-LANGUAGES = 200
+#: Different subwords of a sampled document that training sees at most: of more, those with the least hashes, from the whole text.
+SAMPLE_GRAMS = 8192
 #: Share of rightly predicted calibration documents that may fall below the rejection threshold.
 FALSE_REJECTS = 0.0005
 UNKNOWN = "und"
 #: Text handled at once, in bytes: each character gives four rows of the table.
 CHUNK = 1 << 18
+#: Where a text may be cut without touching a word or how its letters are lower-cased.
+_EDGE = re.compile(r"(?<=\S)\s|(?<=\w)[。、，；！？]")
+#: Sampled rows of a language at least, or all it has.
+LEAST_ROWS = 8
 
 
 @dataclass
@@ -110,37 +116,48 @@ def unlike(text: str) -> str:
     return "".join(out)
 
 
+def counted(text: str, change: Callable[[str], str] = str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and how often each occurs."""
+    total = None
+    for p in pieces(text, _EDGE, CHUNK):
+        ids, _ = grams([change(p)])
+        if len(p) == len(text):
+            return np.unique(ids, return_counts=True)
+        n = np.bincount(ids, minlength=BUCKETS)
+        total = n if total is None else total + n
+    u = np.flatnonzero(total)
+    return u, total[u]
+
+
 def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, text_col: str, lang_col: str) -> list[tuple[str | None, np.ndarray, np.ndarray, bool]]:
     """(language, buckets, shares, whether for calibration) of at most `rows` labelled documents, by a hash of doc_id.
     For every other one also one unlike() it, without language."""
     small_arrow_batches(docs.sparkSession)
     own = narrow(docs if eligible is None else docs.filter(eligible), id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return []
-    each = max(1, rows // len(counts))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    known = counts.count()
+    each = max(LEAST_ROWS, rows // max(1, known))
     parts = 1_000_003
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    chosen = None
-    for lang, n in counts.items():
-        one = (F.col("lang") == lang) & (pick <= int(parts * min(1.0, each / n)))
-        chosen = one if chosen is None else chosen | one
+    chosen = semi_sized(own, counts.withColumn("below", (parts * F.least(F.lit(1.0), each / F.col("n"))).cast("long")), "lang").filter(pick <= F.col("below"))
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.binary()), ("share", pa.binary()), ("later", pa.bool_())])
 
     def run(part: pa.RecordBatch) -> dict:
         many, langs, late = texts(part), part.column("lang").to_pylist(), part.column("later").to_pylist()
         made = [i for i, t in enumerate(many) if zlib.crc32(t.encode()) & 1]
-        ids, cut = grams(many + [unlike(many[i]) for i in made])
         b, s = [], []
-        for a, z in zip(cut, cut[1:]):
-            u, c = np.unique(ids[a:z], return_counts=True)
+        for u, c in (*map(counted, many), *(counted(many[i], unlike) for i in made)):
+            n = c.sum()
+            if len(u) > SAMPLE_GRAMS:
+                some = np.sort(np.argpartition(mix(u.astype(np.uint64)), SAMPLE_GRAMS)[:SAMPLE_GRAMS])
+                u, c = u[some], c[some] * (n / c[some].sum())
             b.append(u.astype("<u2").tobytes())
-            s.append((c / max(1, z - a)).astype("<f4").tobytes())
+            s.append((c / max(1, n)).astype("<f4").tobytes())
         return {"lang": langs + [None] * len(made), "bucket": b, "share": s, "later": late + [late[i] for i in made]}
 
     later = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(5)) == 0
-    got = own.filter(chosen).select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(4 * rows).collect()
+    got = chosen.select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(4 * max(rows, LEAST_ROWS * known)).collect()
     data = [(r["lang"], np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4"), r["later"]) for r in got]
     return sorted((d for d in data if len(d[1])), key=lambda d: (d[0] or "", d[1].tobytes(), d[2].tobytes()))
 
@@ -196,19 +213,40 @@ def fit(data: list[tuple[str | None, np.ndarray, np.ndarray, bool]], dim: int =
 
 
 def train(docs: DataFrame, eligible: Column | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most about `rows` rows (never more than twice that) of those that are eligible and have text and language."""
+    """Learns every language that occurs, from about `rows` rows of those that are eligible and have text and language, spread
+    evenly over the languages, about LEAST_ROWS of each at least; of a row at most SAMPLE_GRAMS subwords. So what the driver gets is
+    bounded by rows, languages and SAMPLE_GRAMS. Rows without text or language teach nothing; an empty or unlabelled table gives
+    a model that knows no language. Repeated rows count each."""
     return fit(sample(docs, rows, eligible, id_col, text_col, lang_col))
 
 
+def parts_of(many: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts, of at most about CHUNK code points in each step, with the number of each; a longer one comes in parts."""
+    held, at, size = [], [], 0
+    for i, t in enumerate(many):
+        for p in pieces(t, _EDGE, CHUNK):
+            if held and size + len(p) > CHUNK:
+                yield held, np.array(at)
+                held, at, size = [], [], 0
+            held.append(p)
+            at.append(i)
+            size += len(p)
+    if held:
+        yield held, np.array(at)
+
+
 def columns(many: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """lang_pred, score and rejected of each text."""
-    ids, cut = grams(many)
-    n = np.diff(cut)
+    """lang_pred, score and rejected of each text. Long texts are read in parts that begin at white space, whose sums add up."""
+    n, sums = np.zeros(len(many), np.int64), np.zeros((len(many), len(model.langs) + 1), np.float64)
+    for group, own in parts_of(many):
+        ids, cut = grams(group)
+        size = np.diff(cut)
+        some = np.flatnonzero(size)
+        if len(some):
+            np.add.at(n, own[some], size[some])
+            np.add.at(sums, own[some], np.add.reduceat(model.table[ids], cut[:-1][some], axis=0))
     known = np.array(has_letter(many), bool) & (len(model.langs) > 0)
-    z = np.zeros((len(many), len(model.langs) + 1), np.float32)
-    some = np.flatnonzero(n)
-    if len(some) and len(model.langs):
-        z[some] = np.add.reduceat(model.table[ids], cut[:-1][some], axis=0) / n[some, None]
+    z = (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
     if len(model.langs):
         z += model.bias
     z /= model.temperature
@@ -224,7 +262,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score (calibrated probability), rejected.
 
     A text that is null or has no letter, and every text if nothing was learned, is `und` with score 0 and rejected. Repeated
-    rows get equal predictions. The whole text is read."""
+    rows get equal predictions. The whole text is read, a very long one in parts. An empty table gives no rows."""
     small_arrow_batches(docs.sparkSession)
     own = narrow(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])

@@ -10,6 +10,8 @@ pairs of code points. Buckets are files, mapped into memory by the workers.
 from __future__ import annotations
 
 import functools
+import itertools
+import mmap
 import shutil
 import tempfile
 import unicodedata
@@ -19,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 POINTS = 0x110000
 #: n-grams that a counting task holds before it passes them on, and of a bucket about.
 HELD, BUCKET = 1 << 20, 1 << 20
+#: Code points of a text that are looked at at once.
+PART = 1 << 20
 
 
 @functools.cache
@@ -67,6 +70,13 @@ def grams(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hi[own], lo[own], np.concatenate(([0], np.cumsum(size)))
 
 
+def parts_of(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of a long text, PART code points at a time, each part after the last code points of the one before."""
+    for a in range(0, len(text), PART):
+        hi, lo, _ = grams([text[max(0, a - ORDER + 1) : a + PART]])
+        yield hi[min(a, ORDER - 1) :], lo[min(a, ORDER - 1) :]
+
+
 def suffix(hi: np.ndarray, lo: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The last `order` code points."""
     if order > 3:
@@ -109,12 +119,14 @@ def count(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         for batch in batches:
             for part in chunks(batch):
-                kinds: dict[tuple[str, int], list[str]] = {}
+                kinds: dict[tuple[str, int], Iterator[tuple[np.ndarray, np.ndarray]]] = {}
+                several: dict[tuple[str, int], list[str]] = {}
                 for t, lang in zip(texts(part), part.column("lang").fill_null("").to_pylist()):
-                    if t:
-                        kinds.setdefault((lang, fold(t)), []).append(t)
-                for k, many in kinds.items():
-                    hi, lo, _ = grams(many)
+                    if len(t) > PART:  # a chunk of its own
+                        kinds[lang, fold(t)] = parts_of(t)
+                    elif t:
+                        several.setdefault((lang, fold(t)), []).append(t)
+                for k, hi, lo in itertools.chain(((k, *x) for k, own in kinds.items() for x in own), ((k, *grams(many)[:2]) for k, many in several.items())):
                     _, first, _, n = distinct(ORDER, hi, lo)
                     own = held.setdefault(k, [])
                     own.append((hi[first], lo[first], n))
@@ -217,68 +229,86 @@ def build(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> st
         keys, logs = short(pairs["code"].to_numpy(), pairs["k"].to_numpy())
         rest = pdf[pdf["order"] > 2].pivot(index="order", columns="code", values="k").sort_index()
         d = np.array([discounts(t) for t in rest.to_numpy(float)])
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "fold": [pdf["fold"].iloc[0]], "buckets": [buckets], "keys": [keys.tobytes()], "logs": [logs.tobytes()], "discounts": [d.tobytes()]})
+        write(place(folder, pdf["lang"].iloc[0], pdf["fold"].iloc[0], "low"), np.array([buckets]), d, keys, logs)
+        return pd.DataFrame({"n": [len(keys)]})
 
     tallied = grouped.groupBy("lang", "fold", "bucket").applyInPandas(tally, "lang string, fold int, order int, code long, k long").groupBy("lang", "fold", "order", "code").agg(F.sum("k").alias("k"))
-    tallied.groupBy("lang", "fold").applyInPandas(lower, "lang string, fold int, buckets int, keys binary, logs binary, discounts binary").write.parquet(f"{folder}/low")
+    tallied.groupBy("lang", "fold").applyInPandas(lower, "n long").agg(F.sum("n")).collect()
 
     def upper(pdf: pd.DataFrame) -> pd.DataFrame:
         lang, f, b = (pdf[c].iloc[0] for c in ("lang", "fold", "bucket"))
-        model = load(folder)[lang, f]
+        model = find(folder, lang, f)
         keys, logs = long(*(pdf[c].to_numpy() for c in ("hi", "lo", "n")), model.low, model.discounts)
-        fs, path = filesystem(model.path(b))
-        fs.create_dir(path.rsplit("/", 1)[0])
-        with fs.open_output_stream(made := f"{path}.{np.random.default_rng().integers(1 << 62)}") as out:  # whole or not at all
-            out.write(np.int64(len(keys)).tobytes() + keys.tobytes() + logs.tobytes())
-        fs.move(made, path)
+        write(place(folder, lang, f, b), keys, logs)
         return pd.DataFrame({"n": [len(keys)]})
 
     grouped.groupBy("lang", "fold", "bucket").applyInPandas(upper, "n long").agg(F.sum("n")).collect()
     return folder
 
 
+def place(folder: str, lang: str, f: int, part: str | int) -> str:
+    return f"{folder}/{lang.encode().hex() or '-'}-{f}/{part}"
+
+
+def write(uri: str, *parts: np.ndarray) -> None:
+    """Arrays of eight-byte numbers, the last of four-byte ones, to a file, whole or not at all."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rsplit("/", 1)[0])
+    with fs.open_output_stream(made := f"{path}.{np.random.default_rng().integers(1 << 62)}") as out:
+        out.write(np.array([x.size for x in parts[:-1]], np.int64).tobytes() + b"".join(x.tobytes() for x in parts))
+    fs.move(made, path)
+
+
+def read(uri: str, *kinds: str) -> list[np.ndarray] | None:
+    """The arrays of a file, mapped, not read; of a file elsewhere, a local copy is. None: there is no such file."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    if isinstance(fs, pafs.LocalFileSystem):
+        raw = _map(path)
+    else:
+        with tempfile.NamedTemporaryFile() as local, fs.open_input_stream(path) as src:
+            shutil.copyfileobj(src, local)
+            local.flush()
+            raw = _map(local.name)
+    at, out = 8 * (len(kinds) - 1), []
+    for kind, n in zip(kinds, [*raw[:at].view(np.int64).tolist(), -1]):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += 8 * n
+    return out
+
+
+def _map(path: str) -> np.ndarray:
+    """Mapped without keeping the file open, since there may be many."""
+    with open(path, "rb") as f:
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+
+
 class Model:
     """Of one language and fold."""
 
-    def __init__(self, folder: str, row: dict):
-        self.root = f"{folder}/long/{row['lang'].encode().hex() or '-'}-{row['fold']}"
-        self.low = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["logs"], "<f4")
-        self.discounts = dict(enumerate(np.frombuffer(row["discounts"]).reshape(-1, 3), 3))
-        self.buckets = row["buckets"]
+    def __init__(self, folder: str, lang: str, fold: int):
+        self.at = folder, lang, fold
+        buckets, d, *low = read(place(*self.at, "low"), "<i8", "<f8", "<u8", "<f4")
+        self.low = tuple(low)
+        self.discounts = dict(enumerate(d.reshape(-1, 3), 3))
+        self.buckets = int(buckets[0])
         self.mapped: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
 
-    def path(self, b: int) -> str:
-        return f"{self.root}/{b}"
-
     def arrays(self, b: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Mapped, not read; of a file elsewhere, a local copy is. None: nothing was counted there."""
+        """None: nothing was counted there."""
         if b not in self.mapped:
-            fs, path = filesystem(self.path(b))
-            if fs.get_file_info(path).type == pafs.FileType.NotFound:
-                self.mapped[b] = None
-            else:
-                if not isinstance(fs, pafs.LocalFileSystem):
-                    local = tempfile.NamedTemporaryFile()
-                    with fs.open_input_stream(path) as src:
-                        shutil.copyfileobj(src, local)
-                    local.flush()
-                    path = local.name
-                raw = np.memmap(path, np.uint8, "r")
-                n = int(raw[:8].view(np.int64)[0])
-                self.mapped[b] = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n :].view("<f4")
+            found = read(place(*self.at, b), "<u8", "<f4")
+            self.mapped[b] = tuple(found) if found else None
         return self.mapped[b]
 
 
-_models: dict[str, dict[tuple[str, int], Model]] = {}
-
-
-def load(folder: str) -> dict[tuple[str, int], Model]:
-    """By language and fold, once in each Python worker."""
-    if folder not in _models:
-        fs, root = filesystem(f"{folder}/low")
-        _models.clear()
-        _models[folder] = {(r["lang"], r["fold"]): Model(folder, r) for r in pq.read_table(root, filesystem=fs).to_pylist()}
-    return _models[folder]
+@functools.lru_cache(64)
+def find(folder: str, lang: str, fold: int) -> Model | None:
+    """The model of a language and fold, opened when it is first asked for; a Python worker keeps the last 64. None: no text of them was
+    counted."""
+    fs, path = filesystem(place(folder, lang, fold, "low"))
+    return None if fs.get_file_info(path).type == pafs.FileType.NotFound else Model(folder, lang, fold)
 
 
 def _back_off(found: tuple[np.ndarray, np.ndarray], orders: range, hi: np.ndarray, lo: np.ndarray, todo: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -317,10 +347,22 @@ def log_probability(model: Model | None, hi: np.ndarray, lo: np.ndarray) -> np.n
 
 
 def costs(many: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the negative log probability of each text's characters; no text is empty."""
+    """Mean and variance of the negative log probability of each text's characters; no text is empty. A long text is read in parts,
+    each after the last code points of the one before."""
+    if len(many) == 1 and len(many[0]) > PART:
+        text, total, squares = many[0], 0.0, 0.0
+        for hi, lo in parts_of(text):
+            logs = _logs(hi, lo, model)
+            total, squares = total + float(logs.sum()), squares + float((logs**2).sum())
+        mean = -total / len(text)
+        return np.array([mean]), np.array([squares / len(text) - mean**2])
     hi, lo, begin = grams(many)
-    _, first, which, _ = distinct(ORDER, hi, lo)
-    logs = log_probability(model, hi[first], lo[first])[which]
+    logs = _logs(hi, lo, model)
     n = np.diff(begin)
     mean = -np.add.reduceat(logs, begin[:-1]) / n
     return mean, np.add.reduceat(logs**2, begin[:-1]) / n - mean**2
+
+
+def _logs(hi: np.ndarray, lo: np.ndarray, model: Model | None) -> np.ndarray:
+    _, first, which, _ = distinct(ORDER, hi, lo)
+    return log_probability(model, hi[first], lo[first])[which]

@@ -30,6 +30,8 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 BELOW, ABOVE = 5.5, 8.0
 #: Relative deviation of a word's cost between long documents, which no length averages out.
 BETWEEN = 0.03
+#: Code points that are looked at at once.
+PART = 1 << 20
 
 
 @functools.cache
@@ -142,29 +144,35 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def marks(text: str) -> tuple[int, int]:
+    """Code points that are no space, and SYMBOLS; PART at a time."""
+    inner = signs = 0
+    for a in range(0, len(text), PART):
+        raw = np.frombuffer(text[a : a + PART].encode(), np.uint8)
+        n = np.bincount(raw, minlength=256)
+        inner += int(n[:128].sum() + n[192:].sum() - n[9:14].sum() - n[32])
+        signs += int(n[SYMBOLS].sum())
+    return inner, signs
+
+
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, log_variance double"
 
 
-def features(part: pa.RecordBatch, model: dict[tuple[str, int], points.Model]) -> dict:
-    """The columns of FEATURES for a chunk with columns text and lang. Each text's model is that of the other fold."""
+def features(part: pa.RecordBatch, folder: str | None) -> dict:
+    """The columns of FEATURES for a chunk with columns text and lang. Each text's model is that of the other fold, in the folder."""
     many, langs = texts(part), part.column("lang").fill_null("").to_pylist()
     h, cut = word_hashes(part, fold=False)
-    raw = np.frombuffer("".join(many).encode(), np.uint8)
-    size = np.array([len(t.encode()) for t in many], np.int64)
-    at = np.concatenate(([0], np.cumsum(size)))
-    space = ((raw >= 9) & (raw <= 13)) | (raw == 32)
-    inner = np.concatenate(([0], np.cumsum(~space & ((raw & 0xC0) != 0x80))))
-    signs = np.concatenate(([0], np.cumsum(SYMBOLS[raw])))
+    inner, signs = np.array([marks(t) for t in many], np.int64).reshape(-1, 2).T
     n_words = np.diff(cut)
     repeat = np.array([repeated_words(h[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())], np.int64)
     mean, var = np.zeros(len(many)), np.zeros(len(many))
     folds = [points.fold(t) for t in many]
-    for lang, f in sorted(set(zip(langs, folds))) if model else []:
+    for lang, f in sorted(set(zip(langs, folds))) if folder else []:
         own = [i for i, x in enumerate(zip(langs, folds)) if x == (lang, f) and many[i]]
         if own:
-            mean[own], var[own] = points.costs([many[i] for i in own], model.get((lang, 1 - f)))
+            mean[own], var[own] = points.costs([many[i] for i in own], points.find(folder, lang, 1 - f))
     return {
-        "n_words": n_words, "word_chars": inner[at[1:]] - inner[at[:-1]], "n_symbols": signs[at[1:]] - signs[at[:-1]], "n_dup_lines": [repeated_lines(t) for t in many],
+        "n_words": n_words, "word_chars": inner, "n_symbols": signs, "n_dup_lines": [repeated_lines(t) for t in many],
         "n_repeat_words": repeat, "base_failed": (n_words < 10) | (100 * repeat > 20 * n_words), "log_perplexity": mean, "log_variance": var,
     }
 
@@ -178,7 +186,7 @@ def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                got = features(part, points.load(folder)) | {"doc_id": part.column("doc_id").cast(pa.int64()), "lang": part.column("lang").fill_null(""), "n_chars": [len(t) for t in texts(part)]}
+                got = features(part, folder) | {"doc_id": part.column("doc_id").cast(pa.int64()), "lang": part.column("lang").fill_null(""), "n_chars": [len(t) for t in texts(part)]}
                 yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in schema], schema=schema)
 
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
@@ -210,7 +218,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, low, high.
 
     A null text is empty: no words, base_failed. A null language is a language of its own. Repeated rows are counted and
-    judged each; null doc_ids are carried. An empty table gives no rows. Kept: the base rules pass and the perplexity lies within
+    judged each; null doc_ids are carried; other columns are left out. A very long text is scored in parts, of which only word
+    hashes are kept. An empty table gives no rows. Kept: the base rules pass and the perplexity lies within
     the band of the language, which is wider for short texts."""
     scored = materialize(score(docs, points.build(docs, text_col, lang_col), id_col, text_col, lang_col))
     out = scored.join(materialize(bands(scored)), "lang", "left")

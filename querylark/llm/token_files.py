@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylark.llm.bpe import vocabulary
-from querylark.llm.common import chunks, filesystem, materialize, narrow, shared_dir, small_arrow_batches, texts
+from querylark.llm.common import chunks, filesystem, materialize, narrow, ranges, shared_dir, small_arrow_batches, texts
 
 MAGIC = b"QLPFOR1\n"
 BLOCK = 256
@@ -122,13 +122,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
     """Encodes the documents by the vocabulary at path, adds end_id to each and writes files to folder in ascending doc_id order
     (null ids first; equal ids by their tokens). Returns the manifest: bucket, seq, file, n_docs, n_ids, start (ids before it).
 
-    A null text is empty: only the end id. Documents go to one bucket per shuffle partition by doc_id quantiles, so no
+    A null text is empty: only the end id. Documents go to buckets by doc_id quantiles, as many as the input's bytes ask for, so no
     order over all rows is sorted in one task, and a bucket's file is closed after FILE_IDS ids. File names and content
     depend only on the data: a task that runs again writes the same. An empty table gives an empty manifest."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     own = narrow(docs, id_col, text_col)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(own)
     cut = own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0]
     cut = np.unique(np.array(cut or [], np.int64))
     if n == 1:
@@ -201,7 +201,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), to.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(t.doc_ids, pa.int64()), pa.array(base + at, pa.int64()), pa.array(t.lengths, pa.int64()), pa.array(crc, pa.int64())], schema=schema)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())  # a file a task
     return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -11,34 +11,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylark.llm.common import P, P_INVERSE, chunks, mix, narrow, per_chunk, power, small_arrow_batches, texts
+from querylark.llm.common import P, P_INVERSE, chunks, mix, narrow, per_chunk, power, ranges, small_arrow_batches, texts
 
 K, WINDOW = 16, 33
 _LOW = np.uint64(0xFFFFFFFF)
+#: Windows of a text that are hashed at once, so memory doesn't follow its length.
+PART = 1 << 20
 
 
 def select(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) and positions of a text's fingerprint, by position. A text of fewer than k code points is one gram, one of
     fewer than `window` grams one window; the empty text has none."""
-    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    n = len(cp)
+    n = len(text)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     k = min(k, n)
+    grams = n - k + 1
+    w = min(window, grams)
+    found = []
+    for a in range(0, grams - w + 1, PART):  # windows from a on; each part reads w + k - 2 code points of the next
+        b = min(a + PART, grams - w + 1)
+        one = _least(text[a : b + w + k - 2], k, w, a)
+        found.append(one[1:] if found and one[0] == found[-1][-1] else one)
+    least = np.concatenate(found) if len(found) > 1 else found[0]
+    return (least >> np.uint64(32)).astype(np.uint32), (_LOW - (least & _LOW)).astype(np.int64)
+
+
+def _least(text: str, k: int, w: int, begin: int) -> np.ndarray:
+    """The least gram of each window of the text, once for each run of windows: hash, then position (from begin), of equal hashes the
+    later first."""
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((cp + np.uint64(1)) * power(P, n), out=sums[1:])
-        h = mix((sums[k:] - sums[:-k]) * power(P_INVERSE, n)[: n - k + 1])
-    m = len(h)
-    least = (h & ~_LOW) | (_LOW - np.arange(m, dtype=np.uint64))  # of equal hashes the later is less
-    w, size = min(window, m), 1
+        sums = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum((cp + np.uint64(1)) * power(P, len(cp)), out=sums[1:])
+        h = mix((sums[k:] - sums[:-k]) * power(P_INVERSE, len(cp))[: len(cp) - k + 1])
+    m, size = len(h), 1
+    least = (h & ~_LOW) | (_LOW - np.arange(begin, begin + m, dtype=np.uint64))
     while size * 2 <= w:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < w:
         least = np.minimum(least[: m - w + 1], least[w - size :])
-    least = least[np.concatenate(([True], least[1:] != least[:-1]))]
-    return (least >> np.uint64(32)).astype(np.uint32), (_LOW - (least & _LOW)).astype(np.int64)
+    return least[np.concatenate(([True], least[1:] != least[:-1]))]
 
 
 def as_string(chosen: tuple[np.ndarray, np.ndarray]) -> str:
@@ -80,12 +94,13 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
     edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next smaller doc_id (equal ids: by text; null ids last), after the last the first; a single
-    document follows itself. A null text is empty. Documents go to ranges of doc_id, one for each shuffle partition, together with
-    the first document of the range that follows; only doc_id is read to find the ranges."""
+    document follows itself. A null text is empty; an empty table gives no rows. Documents go to ranges of doc_id, as many as the
+    input's bytes ask for, together with the first document of the range that follows; only doc_id is read to find the ranges. A
+    very long text is hashed in parts, so beside it and its edited text a task holds what of the parts is chosen."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     own = narrow(docs, id_col, text_col)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(own)
     ids = own.select(F.col("doc_id").cast("long").alias("doc_id"))
     cut = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0]
     cut = np.unique(np.array((cut or []) if n > 1 else [], np.int64))

@@ -34,10 +34,10 @@ def test_model_sums_to_one_whatever_the_buckets(spark, monkeypatch, size):
     texts = [t for _, t, _ in rows()[:20]]
     folder = points.build(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string"))
     every = np.arange(points.POINTS, dtype=np.int64)
-    for f, model in ((f, points.load(folder)["zh", f]) for f in (0, 1)):
+    for f, model in ((f, points.find(folder, "zh", f)) for f in (0, 1)):
         hi, lo, _ = points.grams([t for t in texts if points.fold(t) == f])
         for i in (0, 7, 300):
             p = points.log_probability(model, np.full(len(every), hi[i]), lo[i] & ~points.ONE | every)
             assert np.exp(p).sum() == pytest.approx(1, abs=1e-3)
-    total = sum(-points.costs([t], points.load(folder)["zh", 1 - points.fold(t)])[0][0] for t in texts)
+    total = sum(-points.costs([t], points.find(folder, "zh", 1 - points.fold(t)))[0][0] for t in texts)
     assert total == pytest.approx(test_model_sums_to_one_whatever_the_buckets.__dict__.setdefault("total", total), abs=1e-3)

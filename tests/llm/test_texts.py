@@ -141,7 +141,7 @@ def test_op3_counts(spark, docs):
 def test_repeats_by_hand():
     for t in ("a b c d e a b c d e", "a " * 9, "a b c d", "x\nx\n\n\nx y\n x", "  a b"):
         batch = pa.RecordBatch.from_pydict({"text": [t], "lang": ["en"]})
-        f = quality.features(batch, {})
+        f = quality.features(batch, None)
         assert (f["n_words"][0], f["word_chars"][0], f["n_symbols"][0], f["n_dup_lines"][0], f["n_repeat_words"][0]) == brute_quality(t)
 
 
