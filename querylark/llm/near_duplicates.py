@@ -10,7 +10,9 @@ Links are confirmed on full shingle sets, in two rounds that never list the pair
  1. in each key's group all members meet only the smallest id; confirmed links give components;
  2. in groups that still hold several components, members of different components whose signatures are within the distance are
     compared in blocks, and what passes is confirmed.
-Equal sets are first collapsed to one representative. So no pair within the distance is left out, whatever a group's size.
+Equal sets are first collapsed to one representative. Before a pair of round 2 is made, a sketch of SKETCH bins (the least shingle of
+each bin, one byte) estimates the similarity from up to 1,024 shingles instead of 64, so texts of one template that are less alike than asked
+make no pairs. A linked pair falls out with a probability of some 10^-7, as by its distance. So no pair is left out for a group's size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ DISTANCE = 29
 CHUNKS = np.array_split(np.arange(HASHES), DISTANCE // 2 + 1)
 #: Members of a group that are compared at once; larger groups are split into pairs of blocks of this size.
 BLOCK = 1024
+#: Bins of the sketch, and how many standard deviations below the asked similarity an estimate may lie.
+SKETCH, TOLERANCE = 1024, 5.5
+#: Partners of a text that one task confirms; more are split.
+PARTNERS = 256
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -43,6 +49,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each bin (by the highest bits) of the sorted set a byte of its least shingle, 1 to 255; 0 if it has none."""
+    at = np.searchsorted(shingles, np.arange(SKETCH, dtype=np.uint64) * np.uint64((1 << 64) // SKETCH))
+    out = np.zeros(SKETCH, np.uint8)
+    own = np.flatnonzero(np.diff(np.append(at, len(shingles))))
+    out[own] = mix(shingles[at[own]]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def likely(one: np.ndarray, sizes: int, many: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Which of many sketches may belong to sets that are as similar as asked to that of one. The bins that either set fills hold a sample
+    without replacement of the union, whose size the sets' sizes tell at that similarity."""
+    least = percent / 100
+    used = ((many != 0) | (one != 0)).sum(axis=1)
+    same = ((many == one) & (many != 0)).sum(axis=1)
+    union = np.maximum((sizes + other) / (1 + least), used)
+    spread = np.sqrt(np.maximum(used * least * (1 - least) * (union - used) / np.maximum(union - 1, 1), 0))
+    return same + TOLERANCE * spread + 1 >= least * used
+
+
 def keys(signatures: np.ndarray) -> np.ndarray:
     """(documents, 64) keys: for each position, a hash of its chunk's other positions."""
     out = np.empty(signatures.shape, np.uint64)
@@ -66,8 +92,8 @@ def shingle_sets(part: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 
 def signatures(own: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128-bit identity of the set), signature; for empty sets null from set_a on."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+    """doc_id, n_shingles, set_a and set_b (128-bit identity of the set), signature, sketch; for empty sets null from set_a on."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +101,10 @@ def signatures(own: DataFrame, k: int) -> DataFrame:
                 rows = []
                 for s in shingle_sets(part, k):
                     with np.errstate(over="ignore"):
-                        rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s ^ _MUL[0]).sum().view(np.int64)), signature(s).tobytes()) if len(s) else (0, None, None, None))
+                        rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s ^ _MUL[0]).sum().view(np.int64)), signature(s).tobytes(), sketch(s).tobytes()) if len(s) else (0, None, None, None, None))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 
-    return own.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary, sketch binary")
 
 
 def keyed(reps: DataFrame) -> DataFrame:
@@ -117,32 +143,32 @@ def near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that are linked on their full shingle sets.
 
-    Texts travel, which are smaller than their sets: those of a once to each pair; pairs are then grouped by b."""
+    Texts travel, which are smaller than their sets: that of b for each pair, that of a once for PARTNERS of its pairs, so a text
+    with any number of partners is split over tasks, and its set is made once in each. Rows of a doc_id have equal sets here, so any of their texts does; the least is taken."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = materialize(semi(own.filter(F.col("text").isNotNull()), ids, "doc_id").dropDuplicates(["doc_id"]))
-    both = pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b")
+    some = materialize(semi(own.filter(F.col("text").isNotNull()), ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("splits"))
+    left = sized.join(some.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(None).cast("long").alias("b"), "text")
+    right = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), "splits").cast("int").alias("split"), "b").join(some.toDF("b", "text"), "b")
+    both = left.unionByName(right).repartition("a", "split").sortWithinPartitions("a", "split", F.asc_nulls_first("b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sets(part: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
-        last, got = None, None
-        h, cut = None, None
-        texts = part.column(column).to_pylist()
-        for i, t in enumerate(texts):
-            if t != last or got is None:
-                one = part.slice(i, 1)
-                h, cut = word_hashes(one, column)
-                last, got = t, np.unique(shingle_hashes(h[cut[0] : cut[1]], k))
-            yield got
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for x, y in zip(sets(batch, "ta"), sets(batch, "tb")):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], schema=schema).filter(pa.array(ok, pa.bool_()))
+            for part in chunks(batch):
+                a, b = [], []
+                for i, j, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part, k)):
+                    if j is None:
+                        x = y
+                        continue
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        a.append(i)
+                        b.append(j)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,13 +187,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a key's group (key, doc_id, component, signature, n_shingles, size) whose signatures
-    are within the distance and whose sets' sizes allow the similarity (it is at most the smaller size over the larger), each once. A group of more than BLOCK members is split by a hash of the id into blocks, and each pair of
-    blocks is compared in a task of its own."""
+    """Pairs (a, b) of different components within a key's group (key, doc_id, component, signature, sketch, n_shingles, size) whose
+    signatures are within the distance, whose sets' sizes allow the similarity (it is at most the smaller size over the larger) and whose
+    sketches make it likely, each once. A group of more than BLOCK members is split by a hash of the id into blocks, and each pair
+    of blocks is compared in a task of its own."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     placed = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "signature")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "signature", "sketch")
     ordered = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -175,12 +202,14 @@ def across(groups: DataFrame, percent: int) -> DataFrame:
         t = pa.Table.from_batches(held)
         ids, comp, n, own = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "own"))
         s = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        bins = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         a, b = [], []
         for x in range(len(ids)):
             y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((own != own[x]) | same) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
             if len(y):
                 y = y[(s[y] != s[x]).sum(axis=1) <= DISTANCE]
+                y = y[likely(bins[x], n[x], bins[y], n[y], percent)]
                 a.append(np.full(len(y), ids[x]))
                 b.append(ids[y])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else [], pa.int64()) for z in (a, b)], schema=schema)
@@ -209,15 +238,17 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """doc_id, n_shingles, component_id, kept, of every row.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than k words is one shingle. A null or empty text, or one
-    without words, has n_shingles 0, its own doc_id as component and is kept. Rows with equal doc_id but different texts are
-    linked as they come: the component is then that of the id. Rows with null doc_id are returned with null component and kept
-    true. An empty table gives no rows."""
+    without words, has n_shingles 0, its own doc_id as component and is kept. Rows of equal doc_id but different texts are one
+    document, linked with all that any of its texts is linked with. Rows with null doc_id are returned with null component and kept
+    true. A very long text is one row: its set is held whole, some 16 bytes a word. Other columns are left out. An empty table gives no rows."""
     small_arrow_batches(docs.sparkSession)
     own = narrow(docs, id_col, text_col)
     table = materialize(signatures(own, k))
     filled = table.filter(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
     identity = ["set_a", "set_b", "n_shingles"]
-    reps = materialize(filled.groupBy(*identity).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
+    if not filled.groupBy("doc_id").agg((F.min(F.struct(*identity)) < F.max(F.struct(*identity))).alias("several")).filter("several").isEmpty():
+        return by_rows(own, k, percent)
+    reps = materialize(filled.groupBy(*identity).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
     # round 1: each member of a group meets the smallest
     pivots = keyed(reps).groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
     pivots = materialize(pivots)
@@ -229,12 +260,12 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         labelled = reps.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     else:
         labelled = reps.withColumn("component", F.col("doc_id"))
-    labelled = materialize(labelled.select("doc_id", "component", "n_shingles", "signature"))
+    labelled = materialize(labelled.select("doc_id", "component", "n_shingles", "signature", "sketch"))
     # round 2: what is in one group but not yet in one component
     member = keyed(labelled).join(pivots.select("key", "size"), "key").join(labelled.select("doc_id", "component"), "doc_id")
     member = materialize(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    groups = member.join(mixed, "key").join(labelled.select("doc_id", "signature", "n_shingles"), "doc_id")
+    groups = member.join(mixed, "key").join(labelled.select("doc_id", "signature", "sketch", "n_shingles"), "doc_id")
     second = materialize(across(groups, percent).join(first, ["a", "b"], "left_anti"))
     more = materialize(confirmed(second, own, k, percent))
     if not more.isEmpty():
@@ -245,3 +276,19 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     out = table.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def by_rows(own: DataFrame, k: int, percent: int) -> DataFrame:
+    """deduplicate() where a doc_id has several texts: rows are linked first, then those of one doc_id."""
+    rows = materialize(own.withColumn("row", F.monotonically_increasing_id()))
+    found = deduplicate(rows.filter("doc_id is not null"), k, percent, "row", "text").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"), "n_shingles")
+    known = materialize(rows.select("row", "doc_id").join(found, "row"))
+    same = known.groupBy("doc_id").agg(F.min("row").alias("first"))
+    edges = known.select(F.col("row").alias("a"), F.col("component").alias("b")).union(known.join(same, "doc_id").select("row", "first"))
+    ends = components(edges).join(known.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    ends = materialize(ends.select("id", "component").distinct())
+    least = ends.groupBy("component").agg(F.min("id").alias("component_id"))
+    of = ends.join(least, "component").select(F.col("id").alias("doc_id"), "component_id")
+    out = known.select("doc_id", "n_shingles").join(of, "doc_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = signatures(rows.filter("doc_id is null").select("doc_id", "text"), k).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept").union(none)
