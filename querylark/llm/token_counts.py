@@ -32,7 +32,8 @@ def limits(histogram: DataFrame) -> DataFrame:
     most L tokens), docs_cut, total_tokens, tokens_within (of documents within L), tokens_kept (each document cut to L),
     tokens_cut, quantile (share of documents within L).
 
-    The windows see one row for each distinct length, not the documents."""
+    The windows see one row for each distinct length, not the documents. An empty histogram gives no rows; a length that comes in
+    several rows counts as one only after length_histogram() has added them up."""
     down = Window.orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     longer = F.coalesce(F.sum("n_docs").over(down), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from querylark.llm.common import BROADCAST_ROWS, materialize
 
-#: Copies of the verdicts when they are too many to broadcast, so that a host with a third of all captures isn't one task.
+#: Copies of a table that is too large to broadcast, so that a key with a third of all rows isn't one task.
 SALT = 16
 #: Longest interval piece: an entry that is active for long is cut by months, and captures meet only the pieces of their month.
 FOREVER = "9999-12-31"
@@ -30,17 +30,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     """list, pattern, since, until (exclusive; null: still active) from entries (list, pattern, effective date, action add or remove).
 
     Entries of one day count as one, in which remove wins. Rows with a null in any of the four are no entries; a repeated add
-    goes on, a remove without an add does nothing."""
+    goes on, a remove without an add does nothing. An empty table gives no intervals; other columns are left out."""
     own = entries.select("list", F.lower("pattern").alias("pattern"), F.col("effective").cast("date").alias("effective"), (F.col("action") == "add").alias("active"))
     daily = own.dropna().groupBy("list", "pattern", "effective").agg(F.min("active").alias("active"))
     following = F.lead("effective").over(Window.partitionBy("list", "pattern").orderBy("effective"))
     return daily.withColumn("until", following).filter("active").select("list", "pattern", F.col("effective").alias("since"), "until")
 
 
+def salted(many: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """A join whose left side may have any share of its rows in one key. The right side is broadcast if counted to be at most
+    BROADCAST_ROWS; else it is copied SALT times, and rows of keys that it doesn't have don't meet in one task either: a domain such as
+    com is asked for by every capture, yet in no list."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), on, how)
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("salt", F.pmod(by, F.lit(SALT)).cast("int")).join(copies, [*on, "salt"], how).drop("salt")
+
+
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
     """page_id, host, fetched (date), blocked, lists (names of the lists with an active entry, sorted, comma-joined; '' if none).
 
-    A null or relative URL, or a null date, is blocked by nothing. Repeated captures are judged each. Captures are reduced to
+    A null or relative URL, or a null date, is blocked by nothing. Repeated captures are judged each, null ids are carried, other
+    columns are left out; without captures there are no rows, without entries nothing is blocked. Captures are reduced to
     distinct (host, day) before the join, so a host with any share of the captures adds one row a day."""
     own = captures.select(captures[id_col].alias("page_id"), host(captures[url_col]).alias("host"), captures[fetched_col].cast("date").alias("fetched"))
     valid = intervals(entries)
@@ -49,13 +60,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     pieces = valid.filter(F.col("since") <= F.lit(last).cast("date")).select("list", "pattern", "since", "until", F.explode(F.sequence(F.trunc("since", "month"), ends, F.expr("interval 1 month"))).alias("month"))
     days = own.dropna(subset=["host", "fetched"]).select("host", "fetched").distinct()
     asked = days.select("host", "fetched", F.trunc("fetched", "month").alias("month"), F.explode(suffixes(F.col("host"))).alias("pattern"))
-    active = asked.join(pieces, ["pattern", "month"]).filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    active = salted(asked, materialize(pieces), ["pattern", "month"], F.xxhash64("host", "fetched")).filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     verdicts = materialize(active.groupBy("host", "fetched").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists")))
-    if verdicts.count() <= BROADCAST_ROWS:
-        joined = own.join(F.broadcast(verdicts), ["host", "fetched"], "left")
-    else:
-        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["host", "fetched", "salt"], "left")
+    joined = salted(own, verdicts, ["host", "fetched"], F.xxhash64("page_id"), "left")
     return joined.select("page_id", "host", "fetched", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"))
 
 
