@@ -16,7 +16,9 @@ from querylark.llm.entry import PLAIN
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; lang becomes the recognised language."""
+    """Documents whose language is recognised; lang becomes the recognised language. A null or empty text, or one without a letter, has
+    none and goes; rows of null or repeated doc_id are judged each; an empty table stays empty, as does one without labels, from which nothing
+    is learned."""
     small_arrow_batches(spark)
     model = language.train(docs)
     at = docs.columns.index("lang")
@@ -38,14 +40,16 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
+    """Documents that pass the base rules and lie in their language's perplexity band. A null or empty text fails; a null lang is a
+    language of its own; rows of null or repeated doc_id are judged each; an empty table stays empty."""
     rows = numbered(docs)
     judged = materialize(quality.judge(rows, id_col="_row").filter("not kept").select(F.col("doc_id").alias("_row")))
     return semi(rows, judged, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id (null comes last) of each group of near-duplicates: five words, similarity 0.8."""
+    """The row with the smallest doc_id (null comes last) of each group of near-duplicates: five words, similarity 0.8. Texts that are null
+    or without words are like none and stay; of equal rows one stays; an empty table stays empty."""
     rows = numbered(docs)
     found = near_duplicates.deduplicate(rows, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
@@ -56,15 +60,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and secrets replaced by their kinds; n_chars follows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    clean = F.when(F.col("text").isNotNull(), pii.let(F.struct(text.alias("t"), pii.all_spans(text).alias("s")), lambda x: pii.redacted(x["t"], x["s"])))
-    marked = docs.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    return marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with personal data and secrets replaced by their kinds; n_chars follows. A null text stays null; rows of null or
+    repeated doc_id are redacted each; an empty table stays empty."""
+    marked = pii.with_spans(docs, "text", "_spans").withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"))))
+    return marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its sequence of at most 1024 tokens and its place there."""
+    """One row for each piece of a document, with its sequence of at most 1024 tokens and its place there. A null text is its end token
+    alone; rows of null or repeated doc_id are packed each; an empty table gives no rows."""
     return packing.pack(docs, PLAIN)
 
 
