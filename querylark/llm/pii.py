@@ -30,7 +30,9 @@ BASE = ("email", "ip", "card", "phone")
 
 _TOKEN = "A-Za-z0-9_/+-"
 _SECRET_WORDS = "passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth|bearer|credentials?|passwort|contraseña|mot de passe"
-SECRET = rf"(?i)(?<![\p{{L}}{_TOKEN}])(?:[{_TOKEN}]{{16,}}+(?!\p{{L}})|(?<=(?:{_SECRET_WORDS}) ?[=:] ?[\"']?)[^\s\"',;<>()]{{6,}}+)"
+#: A word for a secret is looked for only where something is set.
+_SET = rf"[=:](?i:(?<=(?:{_SECRET_WORDS}) ?[=:]))"
+SECRET = rf"(?i)(?<![\p{{L}}{_TOKEN}])(?:[{_TOKEN}]{{16,}}+(?!\p{{L}})|(?<=[=:] ?[\"']?)(?<=(?:{_SECRET_WORDS}) ?[=:] ?[\"']?)[^\s\"',;<>()]{{6,}}+)"
 NUMBER = r"(?<![0-9A-Za-z.+])\(?[0-9](?:[ .()-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])"
 WRITTEN = rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]++)++"
 ADDED = ("secret", "number", "email_written")
@@ -153,7 +155,7 @@ def candidates(text: Column) -> Column:
         return F.when(guard, F.transform(matches(text, pattern, True), described)).otherwise(empty)
 
     number = text.rlike("[0-9]")
-    return F.concat(of(0, SECRET, text.rlike(rf"(?i)[{_TOKEN}]{{16}}|(?:{_SECRET_WORDS}) ?[=:]")), of(1, NUMBER, number), of(2, WRITTEN, text.rlike(r"(?i)[\[(] ?at ?[\])]")))
+    return F.concat(of(0, SECRET, text.rlike(rf"[{_TOKEN}]{{16}}|{_SET}")), of(1, NUMBER, number), of(2, WRITTEN, text.rlike(r"(?i)[\[(] ?at ?[\])]")))
 
 
 def boosted(f: Column, trees: list) -> Column:
@@ -231,7 +233,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
     text, base, found = f"`{text_col}`", f"_{out}_base", f"_{out}_found"
     t = F.coalesce(F.col(text), F.lit(""))
     # what no pattern can find anything in
-    some = t.rlike(rf"(?i)[0-9@+]|[\[(] ?at ?[\])]|[{_TOKEN}]{{16}}|(?:{_SECRET_WORDS}) ?[=:]")
+    some = t.rlike(rf"[0-9@+]|[\[(] ?(?i:at) ?[\])]|[{_TOKEN}]{{16}}|{_SET}")
     shown = F.transform(base, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["k"].alias("k"), F.lit(0.0).alias("p")))
     none = F.array().cast(SPANS)
     any_ = F.size(found) > 0
