@@ -67,8 +67,9 @@ def order_evidence(c: Column) -> dict[str, Column]:
     """Aggregates: how many cells only one order of day and month can read, by separator."""
     out = {}
     for name, sep in (("slash", "/"), ("dot", r"\.")):
-        first = F.regexp_extract(c, rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}\d{{4}}", 1).try_cast("int")
-        second = F.regexp_extract(c, rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}\d{{4}}", 2).try_cast("int")
+        form = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}\d{{4}}"
+        of = lambda i, form=form: F.when(c.rlike(form), F.regexp_extract(c, form, i).cast("int"))  # noqa: E731  a failed cast costs an exception
+        first, second = of(1), of(2)
         out[f"{name}_day"] = F.count_if((first > 12) & (first <= 31) & (second <= 12))
         out[f"{name}_month"] = F.count_if((second > 12) & (second <= 31) & (first <= 12))
     return out

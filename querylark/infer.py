@@ -43,29 +43,27 @@ class Profile:
 
 
 def profile(df: DataFrame, exact: bool = True) -> list[Profile]:
-    """Profiles of string columns. Cells become rows (column, cell) with their shape computed once, and are combined by column and
-    shape before the shuffle; so are distinct values, counted exactly or approximately."""
+    """Profiles of string columns. Cells become rows (column, cell); equal ones are counted before and after the shuffle, so that each
+    different cell gets its shape once and the distinct values are known from the same rows. exact=False doesn't bring equal cells
+    together: shapes are computed for each cell, distinct values estimated, and only (column, shape) is shuffled."""
     columns = df.columns
     cells = [F.col(f"`{c}`").cast("string") for c in columns]
     long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.trim(c).alias("t")) for i, c in enumerate(cells)])).alias("x")).select("x.i", "x.t")
+    long = long.groupBy("i", "t").agg(F.count("*").alias("times")) if exact else long.withColumn("times", F.lit(1).cast("long"))
     shaped = long.withColumn("shape", values.shape(F.col("t")))
     t, filled = F.col("t"), ~F.col("shape").isin("empty", "missing")
     number = F.when(F.col("shape").isin("integer", "long number"), t.try_cast("decimal(38,0)"))
     evidence = values.order_evidence(t)
-    some = [] if exact else [F.approx_count_distinct(F.when(filled, t), 0.01).alias("distinct")]
+    distinct = F.count_if(filled) if exact else F.approx_count_distinct(F.when(filled, t), 0.01)
     rows = shaped.groupBy("i", "shape").agg(
-        F.count("*").alias("n"), F.max(F.when(filled, F.length(t))).alias("longest"), F.bool_or(filled & t.rlike(r"\s")).alias("spaced"), F.min(number).alias("least"), F.max(number).alias("most"), *[e.alias(k) for k, e in evidence.items()], *some
+        F.sum("times").alias("n"), F.max(F.when(filled, F.length(t))).alias("longest"), F.bool_or(filled & t.rlike(r"\s")).alias("spaced"), F.min(number).alias("least"), F.max(number).alias("most"), *[e.alias(k) for k, e in evidence.items()], distinct.alias("distinct")
     ).collect()
-    if exact:
-        known = shaped.filter(filled).select("i", F.xxhash64("t").alias("v")).distinct()
-        counted = {r["i"]: r["n"] for r in known.groupBy("i").agg(F.count("*").alias("n")).collect()}
     out = []
     for i, name in enumerate(columns):
         own = [r for r in rows if r["i"] == i]
         shapes = dict.fromkeys(values.SHAPES, 0) | {r["shape"]: r["n"] for r in own}
         pick = lambda f, k: f((r[k] for r in own if r[k] is not None), default=None)  # noqa: E731, B023
-        distinct = counted.get(i, 0) if exact else sum(r["distinct"] for r in own)
-        p = Profile(name, sum(shapes.values()), shapes, distinct, pick(max, "longest") or 0, bool(pick(max, "spaced")), pick(min, "least"), pick(max, "most"), values.date_orders({k: sum(r[k] for r in own) for k in evidence}))
+        p = Profile(name, sum(shapes.values()), shapes, sum(r["distinct"] for r in own), pick(max, "longest") or 0, bool(pick(max, "spaced")), pick(min, "least"), pick(max, "most"), values.date_orders({k: sum(r[k] for r in own) for k in evidence}))
         if p.seen == {"list"}:
             p.elements = profile(df.select(F.explode(values.parse_list(cells[i])).alias(name)), exact)[0]
         out.append(p)
