@@ -14,6 +14,8 @@ from querylark.analysis.analyzers import TOKENIZERS
 from querylark.functions import names
 from querylark.functions.values import ip_key
 from querylark.operators import shaping
+from querylark.operators.postings import Postings
+from querylark.operators.postings import write as write_postings
 from querylark.plans import bm25
 from querylark.plans.compiler import Compiled, Compiler, Source, exact_stored
 from querylark.query import modifiers, parser
@@ -116,8 +118,9 @@ def _as_metrics(row, schema: Schema, r: Request) -> dict:
 class Index:
     """df has a column `id` (a string; `id_from` makes one) and the schema's fields; ghosts have no column."""
 
-    def __init__(self, name: str, df: DataFrame, schema: Schema | None = None, id_from: list[str] | None = None, limits: Limits = Limits(), **types: str | Field):
-        self.name, self.limits = name, limits
+    def __init__(self, name: str, df: DataFrame, schema: Schema | None = None, id_from: list[str] | None = None, limits: Limits = Limits(), postings: Postings | None = None, **types: str | Field):
+        """postings: the inverted index of this very table (see invert()), which then answers text clauses."""
+        self.name, self.limits, self.inverted = name, limits, postings
         if schema is None:
             schema = schema_of(df.schema, **types)
         self.schema = schema.validate(TOKENIZERS)
@@ -144,6 +147,20 @@ class Index:
         table.sortWithinPartitions("id").write.mode("overwrite").parquet(path)
         return Index(self.name, self.df.sparkSession.read.parquet(path), self.schema, limits=self.limits)
 
+    def invert(self, path: str) -> Index:
+        """Writes the inverted index of the text fields and opens the index with it. Positions within a document are kept; the table itself
+        stays where it is."""
+        write_postings(self.df, self.source, path)
+        return Index(self.name, self.df, self.schema, limits=self.limits, postings=Postings(self.df.sparkSession, path))
+
+    @cached_property
+    def documents(self) -> int:
+        return self.df.count()
+
+    def flagged(self, c: Compiled) -> DataFrame:
+        """The table with what the postings say about the query's text clauses."""
+        return self.inverted.flagged(self.df, c.asks) if c.asks else self.df
+
     def postings(self, name: str) -> DataFrame:
         """term, id, tf, positions of a text field: the inverted index as a table."""
         f = self.schema.get(name)
@@ -174,7 +191,7 @@ class Index:
         return r
 
     def compiled(self, query: str, exact: bool = False) -> Compiled:
-        c = Compiler(self.source, exact, self.limits.min_prefix, self.limits.bare_prefix, self.limits.default_fields)
+        c = Compiler(self.source, exact, self.limits.min_prefix, self.limits.bare_prefix, self.limits.default_fields, self.inverted is not None)
         names_ = ("id", self.schema.shadow.name) if self.schema.shadow else ("id",)
         key = parser.point_lookup(query, names_)
         if key is not None:
@@ -196,7 +213,7 @@ class Index:
         c = self.compiled(query)
         if strict and c.notes:
             raise QueryRefused("; ".join(c.notes))
-        return self.df.filter(c.match)
+        return self.flagged(c).filter(c.match).select(*self.df.columns)
 
     def count(self, query: str) -> DataFrame:
         """One row: total_hits."""
@@ -231,11 +248,11 @@ class Index:
         c = self.compiled(r.query)
         discarded = list(c.notes)
         measure(self.df, self.schema, r.least, r.most) if r.least or r.most else None
-        hits = self.df.filter(c.match)
+        hits = self.flagged(c).filter(c.match)
         window = r.limit + r.offset
         approximate, ranked = None, hits
         if r.sort is None:
-            ranked = hits.withColumn("_score", bm25.score(self.df, self.source, c.leaves) if c.leaves else F.lit(1.0))
+            ranked = hits.withColumn("_score", self.scored(c) if c.leaves else F.lit(1.0))
             order = [F.desc("_score"), F.asc("id")]
         else:
             key, known, fine = self.sort_key(r.sort[0])
@@ -244,7 +261,7 @@ class Index:
                 ranked = hits.withColumn("_score", F.lit(1.0))
             else:
                 approximate = known
-                ranked = hits.withColumn("_score", bm25.score(self.df, self.source, c.leaves)).orderBy(F.desc("_score"), F.asc("id")).limit(2 * window)
+                ranked = hits.withColumn("_score", self.scored(c)).orderBy(F.desc("_score"), F.asc("id")).limit(2 * window)
         page = ranked.orderBy(*order).offset(r.offset).limit(r.limit) if r.offset else ranked.orderBy(*order).limit(r.limit)
         columns = self.projection(r.fields, discarded)
         if strict and discarded:
@@ -256,6 +273,9 @@ class Index:
         shaped = shaping.shape(page, [*columns, *(["_score"] if scores else [])], r.array, c.elements, r.matches)
         return SearchResult(shaped, r, discarded, hits, self.schema, order, approximate, c.narrowed)
 
+    def scored(self, c: Compiled) -> Column:
+        return bm25.from_postings(self.inverted, self.documents, c.leaves) if self.inverted else bm25.score(self.df, self.source, c.leaves)
+
     def projection(self, wanted: list[str] | None, discarded: list[str]) -> list[str]:
         """Columns of a hit, in the order asked for; what isn't there is noted."""
         stored = [n for n in self.df.columns if not n.startswith(Source.ANALYSED)]
@@ -319,7 +339,7 @@ class Index:
         c = self.compiled(query, exact=True)
         if c.notes:
             raise QueryRefused("documents can't be deleted by a query of which clauses were dropped: " + "; ".join(c.notes))
-        found, stored = self.df.filter(c.match), exact_stored(self.source, c.exact)
+        found, stored = self.flagged(c).filter(c.match), exact_stored(self.source, c.exact)
         return found.filter(stored), found.filter(~stored)
 
     def delete_by_query(self, query: str, confirm: bool = False, dry_run: bool = False) -> dict:
@@ -352,7 +372,7 @@ def federated(indexes: list[Index], query: str, limits: Limits = Limits(), **opt
     for at, index in enumerate(indexes):
         try:
             own = replace(index.limits, window=max(index.limits.window, r.limit + r.offset))
-            one = Index(index.name, index.df, index.schema, limits=own)
+            one = Index(index.name, index.df, index.schema, limits=own, postings=index.inverted)
             got = one.search(r.query, limit=r.limit + r.offset, offset=0, sort=r.sort, array=r.array, fields=None, scores=True)
             if got.discarded:
                 raise QueryRefused(f"{index.name}: " + "; ".join(got.discarded))

@@ -8,11 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylark.analysis.analyzers import count_terms
+from querylark.operators.postings import Postings
 from querylark.plans.compiler import Leaf, Source, occurrences
 
 K1, B = 1.2, 0.75
 
 
+def from_postings(postings: Postings, n: int, leaves: list[Leaf]) -> Column:
+    """Sum over the leaves, from the columns that Postings.flagged() adds; n: documents of the table. Document frequencies of the query's
+    terms are counted on their postings alone."""
+    known = postings.documents_with(sorted({(x.field, t) for x in leaves if x.ask is not None for t in x.terms}))
+    total = F.lit(0.0)
+    for x in leaves:
+        if x.ask is None or not x.terms or not n:
+            total = total + F.when(x.match, F.lit(float(x.boost))).otherwise(F.lit(0.0))
+            continue
+        idf = sum(math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in (known[x.field, t] for t in x.terms))
+        mean = postings.totals.get(x.field, 0) / n or 1.0
+        tf = F.col(f"_tf_{x.ask}").cast("double")
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"_dl_{x.ask}") / F.lit(mean)))
+        total = total + F.when(x.match, F.lit(x.boost * idf) * part).otherwise(F.lit(0.0))
+    return total
+
+
 def score(df: DataFrame, source: Source, leaves: list[Leaf]) -> Column:
     """Sum over the leaves. One aggregate over the table gets the number of documents, the mean length of each scored field and the
     document frequency of each query term: a bounded number of values, whatever the table's size."""

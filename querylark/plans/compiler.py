@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from querylark.analysis.analyzers import GAP, TOKENIZERS, analysed, count_of, terms_array
 from querylark.functions import names
 from querylark.functions.values import condition, ip_key
+from querylark.operators.postings import Ask
 from querylark.query import dates, ip
 from querylark.query.parser import MUST, MUST_NOT, SHOULD, Among, Between, Clause, Everything, Facet, Group, Parsed, QueryRefused, Word
 from querylark.schema import BARE, BOOLEAN, BYTES, DATE, F64, FACET, I64, IP, JSON, NUMERIC, RANGED, STRING, TEXT, U64, Field, Schema
@@ -36,6 +37,7 @@ class Leaf:
     field: str | None = None
     needle: str | None = None
     terms: tuple[str, ...] = ()
+    ask: int | None = None  # its number among the asks of an inverted index
 
 
 @dataclass
@@ -46,6 +48,7 @@ class Compiled:
     elements: list[tuple[str, Callable[[Column], Column]]]  # tests of one element of a list field
     narrowed: list[str] | None = None
     exact: list[tuple[str, str]] = field(default_factory=list)  # text fields and the values that must be stored as such
+    asks: list[Ask] = field(default_factory=list)
 
 
 class Source:
@@ -91,7 +94,9 @@ class Source:
 
 
 class Compiler:
-    def __init__(self, source: Source, exact: bool = False, min_prefix: int = MIN_PREFIX, bare_prefix: bool = True, most_default: int = 64):
+    def __init__(self, source: Source, exact: bool = False, min_prefix: int = MIN_PREFIX, bare_prefix: bool = True, most_default: int = 64, inverted: bool = False):
+        """inverted: text clauses become asks and columns that Postings.flagged() adds; else they read the analysed text."""
+        self.asks: list[Ask] | None = [] if inverted else None
         self.source, self.schema, self.exact = source, source.schema, exact
         self.min_prefix, self.bare_prefix = min_prefix, bare_prefix
         self.notes: list[str] = []
@@ -113,7 +118,7 @@ class Compiler:
         got = self.clause(parsed.clause, 1.0, True)
         if got is None:
             raise QueryRefused("no clause of the query can be run: " + "; ".join(self.notes))
-        return Compiled(got[0], got[1], self.notes, self.elements, self.narrowed if self.used_default else None, self.exact_values)
+        return Compiled(got[0], got[1], self.notes, self.elements, self.narrowed if self.used_default else None, self.exact_values, self.asks or [])
 
     # ---- structure
 
@@ -238,8 +243,13 @@ class Compiler:
             if source.many:
                 self.elements.append((source.name, test))
 
+    def asked(self, a: Ask, boost: float, scored: bool = False) -> Leaf:
+        if a not in self.asks:
+            self.asks.append(a)
+        k = self.asks.index(a)
+        return Leaf(F.coalesce(F.col(f"_tf_{k}") > 0, F.lit(False)), boost, a.field if scored else None, None, a.terms if scored else (), k)
+
     def text_word(self, f: Field, c: Word, boost: float, positive: bool) -> Leaf | None:
-        s = self.source.text(f)
         terms = TOKENIZERS[f.tokenizer].terms(c.text)
         if not terms:
             self.note(f"'{f.name}:{c.text}' holds no word that the field's tokenizer keeps")
@@ -261,11 +271,16 @@ class Compiler:
         if c.slop and len(terms) > 1:
             match = lambda x: near(x, terms, c.slop)
             self.tested(f, positive, lambda e: match(self.source.element(f, e)))
-            return Leaf(match(s), boost, f.name, None, tuple(terms))
+            if self.asks is not None:
+                return self.asked(Ask(f.name, tuple(terms), slop=c.slop), boost, True)
+            return Leaf(match(self.source.text(f)), boost, f.name, None, tuple(terms))
         needle = " " + "  ".join(terms) + ("" if prefix else " ")
         self.tested(f, positive, lambda e: F.contains(self.source.element(f, e), F.lit(needle)))
         if self.exact and f.type == TEXT:
             self.exact_values.append((f.name, c.text))
+        if self.asks is not None:
+            return self.asked(Ask(f.name, tuple(terms), prefix), boost, f.type == TEXT and not prefix)
+        s = self.source.text(f)
         return Leaf(F.contains(s, F.lit(needle)), boost, f.name if f.type == TEXT and not prefix else None, needle, tuple(terms))
 
     def literal(self, f: Field, text: str) -> object | None:
@@ -369,6 +384,8 @@ class Compiler:
                 return None
             any_of = lambda s: reduce(lambda a, b: a | b, [F.contains(s, F.lit(f" {t} ")) for t in dict.fromkeys(kept)])
             self.tested(f, positive, lambda e: any_of(self.source.element(f, e)))
+            if self.asks is not None:
+                return self.asked(Ask(f.name, tuple(dict.fromkeys(kept)), any_of=True), boost)
             return Leaf(any_of(self.source.text(f)), boost)
         if f.type in (IP, FACET, BYTES):
             if f.type == BYTES:
@@ -411,6 +428,8 @@ class Compiler:
         if f.type == TEXT:
             any_term = lambda s: F.exists(terms_array(s), inside)
             self.tested(f, positive, lambda e: any_term(self.source.element(f, e)))
+            if self.asks is not None:
+                return self.asked(Ask(f.name, bounds=tuple(bounds)), boost)
             return Leaf(any_term(self.source.text(f)), boost)
         return Leaf(self.on(f, positive, inside, f.type == IP), boost)
 
