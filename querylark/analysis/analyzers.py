@@ -7,6 +7,7 @@ GAP, which no phrase crosses.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -48,15 +49,18 @@ _SINGLE |= {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "
 _DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij"}
 
 
+_MARKS = re.compile("(?<=[a-zA-Z])[\u0300-\u036f]+")
+
+
 def fold(text: str) -> str:
-    return "".join(_DOUBLE.get(c, _SINGLE.get(c, c)) for c in unicodedata.normalize("NFC", text))
+    return _MARKS.sub("", "".join(_DOUBLE.get(c, _SINGLE.get(c, c)) for c in unicodedata.normalize("NFC", text)))
 
 
 def fold_column(c: Column) -> Column:
     c = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
     for a, b in _DOUBLE.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.regexp_replace(c, "(?<=[a-zA-Z])[\\u0300-\\u036f]+", "")  # marks of decomposed letters
 
 
 def _by_term(fn: Callable[[str], str]) -> Callable[[Column], Column]:

@@ -188,6 +188,17 @@ def typed(c: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
+def json_value(c: Column, kind: str) -> Column:
+    """A JSON value (variant) by a declared type: "12" and 12.0 are 12 for i64, "TRUE" is true, a number is text in a text field, an object
+    or list its JSON; null if it doesn't fit."""
+    text = F.when(F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)"), F.to_json(c)).otherwise(F.try_variant_get(c, "$", "string"))
+    if kind in ("text", "string", "json", "facet"):
+        return text
+    if kind in ("i64", "u64"):
+        return typed(F.regexp_replace(text, r"^([+-]?\d+)\.0+$", "$1"), kind)
+    return typed(text, kind)
+
+
 def bytes_of(c: Column) -> Column:
     """Binary of an array of numbers, all from 0 to 255 or null."""
     good = F.forall(c, lambda x: x.between(0, 255) & x.isNotNull())

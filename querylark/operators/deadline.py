@@ -18,7 +18,8 @@ class DeadlineExceeded(TimeoutError):
 def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
     """Jobs started in the block by this thread form a group and are cancelled together."""
     sc, group, over = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
-    before = sc.getLocalProperty("spark.jobGroup.id")
+    named = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {n: sc.getLocalProperty(n) for n in named}
 
     def cancel() -> None:
         over.set()
@@ -35,4 +36,5 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
         raise
     finally:
         timer.cancel()
-        sc.setLocalProperty("spark.jobGroup.id", before)
+        for n, v in before.items():
+            sc.setLocalProperty(n, v)

@@ -174,6 +174,17 @@ class Index:
     def statistics(self) -> DataFrame:
         return self.df.agg(F.lit(self.name).alias("index"), F.count("*").alias("documents"), F.lit(len(self.schema.fields)).alias("fields"))
 
+    def inner_fields(self, name: str) -> DataFrame:
+        """name: the keys that occur in a json field's objects."""
+        return self.df.select(F.explode(F.json_object_keys(F.col(f"`{name}`"))).alias("name")).distinct()
+
+    def percentiles(self, name: str, quantiles: dict[str, float], most: str, error: int | None = None) -> DataFrame:
+        """One row: each quantile of a numeric field, and its greatest value. Exact, or with error (say 10_000) to one part in so many,
+        in memory that doesn't grow with the values."""
+        c = F.col(f"`{name}`")
+        of = (lambda q: F.percentile(c, q)) if error is None else (lambda q: F.percentile_approx(c, q, error))
+        return self.df.agg(*[of(q).alias(n) for n, q in quantiles.items()], F.max(c).alias(most))
+
     # ---- requests
 
     def request(self, query: str, limit=None, offset=None, fields=None, sort=None, array=None, matches=None, least=None, most=None) -> Request:
@@ -213,7 +224,7 @@ class Index:
         c = self.compiled(query)
         if strict and c.notes:
             raise QueryRefused("; ".join(c.notes))
-        return self.flagged(c).filter(c.match).select(*self.df.columns)
+        return self.flagged(c).filter(c.match).select(*[F.col(f"`{n}`") for n in self.df.columns])
 
     def count(self, query: str) -> DataFrame:
         """One row: total_hits."""

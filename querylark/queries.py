@@ -148,7 +148,7 @@ def index_statistics(spark, sf):
 
 @query("SELECT DISTINCT unnest(json_keys(props)) AS name FROM events")
 def field_discovery(spark, sf):
-    return read(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("name")).distinct()
+    return index(spark, sf, "events").inner_fields("props")
 
 
 # ---- predicates
@@ -334,7 +334,7 @@ def retention_prune(spark, sf):
 
 @query("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS most FROM events")
 def percentiles(spark, sf):
-    return read(spark, sf, "events").agg(*[F.percentile("value", q).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.max("value").alias("most"))
+    return index(spark, sf, "events").percentiles("value", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "most")
 
 
 # ---- arrays in hits
@@ -403,11 +403,6 @@ def bulk_validation(spark, sf):
     return cells.agg(F.count_if(bad.isNull()).alias("good"), F.count_if(bad.isNotNull()).alias("rejected"))
 
 
-@query("SELECT l_orderkey || '|' || l_linenumber AS id FROM lineitem WHERE l_quantity > 45")
-def compose_id(spark, sf):
-    return writes.compose_id(read(spark, sf, "lineitem").filter("l_quantity > 45"), ["l_orderkey", "l_linenumber"]).select("id")
-
-
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def id_ledger(spark, sf):
     return writes.ledger(read(spark, sf, "orders"), "o_custkey")
@@ -464,12 +459,6 @@ def analyze_whitespace(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.size(terms_array(TOKENIZERS["whitespace"].column(F.col("text")))).cast("bigint").alias("n"))
 
 
-@query("SELECT doc_id, strip_accents(lower(lang || ' ' || left(text, 60))) AS folded FROM documents WHERE lang IN ('fr', 'es')")
-def accent_fold(spark, sf):
-    c = F.concat_ws(" ", "lang", F.substring("text", 1, 60))
-    return read(spark, sf, "documents").filter("lang in ('fr', 'es')").select("doc_id", F.substring(TOKENIZERS["raw_fold"].column(c), F.lit(2), F.length(c)).alias("folded"))
-
-
 @query("SELECT o_orderkey, " + ", ".join(f"CAST(epoch(o_orderdate) AS BIGINT) AS {n}" for n in "abcd") + " FROM orders")
 def parse_dates(spark, sf):
     o = read(spark, sf, "orders")
@@ -541,34 +530,12 @@ def dates_out_of_range(spark, sf):
     return read(spark, sf, "orders").agg(F.count_if(values.out_of_range(far)).alias("out_of_range"))
 
 
-@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events WHERE event_id < 500")
-def epoch_dates(spark, sf):
-    e = read(spark, sf, "events").filter("event_id < 500")
-    return e.select("event_id", F.unix_timestamp(values.epoch_date(F.unix_timestamp("ts"))).alias("seconds"))
-
-
 @query("SELECT 'o_orderkey' AS id")
 def choose_id(spark, sf):
     cells = read(spark, sf, "orders").select(*[F.col(c).cast("string") for c in ("o_custkey", "o_orderstatus", "o_orderkey")])
     return spark.createDataFrame([("|".join(infer.choose_id(infer.profile(cells))),)], "id string")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE event_id < 2000")
-def object_values(spark, sf):
-    from querylark.functions.reshape import object_values as of
-
-    return read(spark, sf, "events").filter("event_id < 2000").select("event_id", F.get(of(F.col("props")), F.lit(0)).alias("value"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 60 + l_linenumber AS seconds FROM lineitem WHERE l_quantity < 4")
-def durations(spark, sf):
-    from querylark.functions.reshape import duration_seconds
-
-    rows = read(spark, sf, "lineitem").filter("l_quantity < 4")
-    said = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(":"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
-    return rows.select("l_orderkey", "l_linenumber", duration_seconds(said).alias("seconds"))
-
-
 @query("SELECT form, lemma, n FROM (SELECT lower(p_brand) AS form, lower(p_type) AS lemma, count(*) AS n, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY count(*) DESC, lower(p_type)) AS k FROM part GROUP BY 1, 2) WHERE k = 1")
 def lexicon_lemmas(spark, sf):
     from querylark.analysis.lexicon import lemmas
@@ -599,7 +566,7 @@ def strict_mode(spark, sf):
     return i.filter('+text:"of the" -text:and +lang:en', strict=True).select("doc_id")
 
 
-# ---- whole tables, of queries above whose SQL keeps to a part
+# ---- values over whole tables
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
 def epoch_dates_all(spark, sf):
     return read(spark, sf, "events").select("event_id", F.unix_timestamp(values.epoch_date(F.unix_timestamp("ts"))).alias("seconds"))
@@ -636,3 +603,6 @@ def reduce_union(parts_: list[DataFrame]) -> DataFrame:
     for p in parts_[1:]:
         out = out.unionByName(p)
     return out
+
+
+from querylark import queries_more  # noqa: E402, F401  registers the rest

@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
+import itertools
 import json
 import os
 import urllib.request
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylark.schema import TYPE_OF
 
 PREFIX = 64 << 10
+PACKED = (".gz", ".gzip", ".zip")
 BAD = "_bad"
+#: Bytes of files that a sampling scan reads whole.
+SAMPLE_WHOLE = 1 << 30
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def prefix_of(path: str, spark: SparkSession | None = None) -> str:
+    """The first 64 KB of a file's text, decompressed by its ending; of a folder those of its first file. The driver reads no more than
+    that, through Hadoop's file systems, so the path may be on any of them."""
+    spark = spark or SparkSession.getActiveSession()
+    where, fs = _hadoop(spark, path)
+    if fs.getFileStatus(where).isDirectory():
+        names = sorted(s.getPath().toString() for s in fs.listStatus(where) if not s.getPath().getName().startswith(("_", ".")))
+        return prefix_of(names[0], spark)
+    stream = fs.open(where)
+    raw = bytes(stream.readNBytes(PREFIX))
+    stream.close()
+    if path.endswith(PACKED[:2]):
+        raw = zlib.decompressobj(31).decompress(raw, PREFIX)
+    elif path.endswith(".zip"):
+        raw = _first_entry(raw)
+    return raw.decode("utf-8", "ignore").removeprefix("\ufeff")
 
 
-def prefix_of(path: str) -> str:
-    """The first 64 KB of a file's text, decompressed by its ending. The driver reads no more than that."""
-    if path.endswith((".gz", ".gzip")):
-        with gzip.open(path, "rb") as f:
-            raw = f.read(PREFIX)
-    elif path.endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            first = next(n for n in z.namelist() if not n.endswith("/"))
-            with z.open(first) as f:
-                raw = f.read(PREFIX)
-    else:
-        with open(path, "rb") as f:
-            raw = f.read(PREFIX)
-    return raw.decode("utf-8", "ignore").removeprefix("﻿")
+def _first_entry(raw: bytes) -> bytes:
+    """The beginning of a zip's first file, from its local headers."""
+    at = 0
+    while raw[at : at + 4] == b"PK\x03\x04":
+        method, size, name, extra = (int.from_bytes(raw[at + i : at + i + n], "little") for i, n in ((8, 2), (18, 4), (26, 2), (28, 2)))
+        body = at + 30 + name + extra
+        if raw[at + 30 + name - 1 : at + 30 + name] != b"/":
+            return zlib.decompressobj(-15).decompress(raw[body:], PREFIX) if method else raw[body : body + (size or PREFIX)]
+        at = body + size
+    raise ValueError("no file in the zip")
 
 
 def sniff_delimiter(text: str) -> str:
@@ -76,46 +101,40 @@ def typed_header(names: list[str]) -> tuple[list[str], dict[str, str]]:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """All columns as strings, and the types that the header names. Short rows are filled with nulls, spare cells dropped."""
-    if path.endswith(".zip"):
-        return _from_lines(spark, zip_lines(spark, path), delimiter or sniff_delimiter(prefix_of(path)), prefix_of(path))
-    sep = delimiter or sniff_delimiter(prefix_of(path if os.path.isfile(path) else _first(path)))
-    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("multiLine", False).csv(path)
+    """All columns as strings, and the types that the header names. Short rows are filled with nulls, spare cells dropped. A quoted cell
+    may hold line breaks: files that have such a cell are read one to a task, others in splits; so are .zip and .gzip files."""
+    prefix = prefix_of(path, spark)
+    sep = delimiter or sniff_delimiter(prefix)
+    if path.endswith(PACKED[1:]):
+        names, types = typed_header(next(csv.reader(io.StringIO(prefix), delimiter=sep)))
+        rows = unpacked(spark, path, sep).filter("row > 1")
+        return rows.select(*[F.when(F.get("cells", F.lit(i)) != "", F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)]), types
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1  # a quote that the line doesn't close
+    broken = not spark.read.text(path).filter(odd).isEmpty()
+    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("multiLine", broken).option("escape", '"').csv(path)
     names, types = typed_header(df.columns)
     return df.toDF(*names), types
 
 
-def _first(folder: str) -> str:
-    return os.path.join(folder, sorted(n for n in os.listdir(folder) if not n.startswith(("_", ".")))[0])
-
-
-def _from_lines(spark: SparkSession, lines: DataFrame, sep: str, prefix: str) -> tuple[DataFrame, dict[str, str]]:
-    header = pd.read_csv(io.StringIO(prefix.split("\n", 1)[0]), sep=sep, dtype=str, nrows=0).columns.tolist()
-    names, types = typed_header(header)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    parsed = lines.filter("line > 1").select("line", F.from_csv("text", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"}).alias("r"))
-    return parsed.select("r.*"), types
+def unpacked(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """file, row, cells of .gzip files and of the first entry of each .zip; without sep a line is one cell. A file is unpacked in one
+    task, in batches; rows are read as CSV, so quoted line breaks stay in their cell."""
 
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                if name.endswith(".zip"):
+                    z = zipfile.ZipFile(io.BytesIO(raw))
+                    source = z.open(next(n for n in z.namelist() if not n.endswith("/")))
+                else:
+                    source = gzip.GzipFile(fileobj=io.BytesIO(raw))
+                lines = io.TextIOWrapper(source, "utf-8-sig", "replace", newline="" if sep else None)
+                rows = csv.reader(lines, delimiter=sep) if sep else ([x.rstrip("\n")] for x in lines)
+                for first, cells in enumerate(iter(lambda: list(itertools.islice(rows, 10_000)), [])):
+                    at = [first * 10_000 + i + 1 for i in range(len(cells))]
+                    yield pa.RecordBatch.from_pydict({"file": [name] * len(cells), "row": at, "cells": cells}, schema=pa.schema([("file", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))]))
 
-def zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, text of the first entry of each zip file; a file is unpacked in one task, in batches."""
-
-    def unpack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    first = next(n for n in z.namelist() if not n.endswith("/"))
-                    with z.open(first) as f:
-                        rows: list[tuple[str, int, str]] = []
-                        for i, x in enumerate(io.TextIOWrapper(f, "utf-8", "replace"), 1):
-                            rows.append((name, i, x.rstrip("\r\n")))
-                            if len(rows) == 10_000:
-                                yield pd.DataFrame(rows, columns=["file", "line", "text"])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=["file", "line", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "file string, line long, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "file string, row long, cells array<string>")
 
 
 def unwrap(df: DataFrame) -> DataFrame:
@@ -132,8 +151,8 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame]:
     """(documents, bad lines). A line that is no object is bad and doesn't stop the rest."""
-    if path.endswith(".zip"):
-        lines = zip_lines(spark, path).select("text")
+    if path.endswith(PACKED[1:]):
+        lines = unpacked(spark, path).select(F.get("cells", F.lit(0)).alias("text"))
         kinds = schema or spark.read.json(lines.filter(F.trim("text").startswith("{")).rdd.map(lambda r: r[0])).schema
         good = F.from_json("text", kinds)
         parsed = lines.withColumn("r", good)
@@ -147,20 +166,38 @@ def read_jsonl(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame,
     return unwrap(parsed.filter(good).select("r.*")), parsed.filter(~good).select("file", "text")
 
 
-def fetch(url: str, folder: str, timeout: float = 60.0) -> str:
-    """An HTTP(S) source, fetched once into a folder and read from there."""
-    to = os.path.join(folder, os.path.basename(url.split("?")[0]) or "source")
-    if not os.path.exists(to):
-        with urllib.request.urlopen(url, timeout=timeout) as r, open(to + ".part", "wb") as f:
+def fetch(url: str, folder: str, timeout: float = 60.0, spark: SparkSession | None = None) -> str:
+    """An HTTP(S) source, fetched once into a folder of any of Hadoop's file systems and read from there; on a cluster the folder has to be
+    one that all executors reach."""
+    spark = spark or SparkSession.getActiveSession()
+    name = os.path.basename(url.split("?")[0]) or "source"
+    to, fs = _hadoop(spark, f"{folder}/{name}")
+    if not fs.exists(to):
+        part, _ = _hadoop(spark, f"{folder}/.{name}.part")
+        with urllib.request.urlopen(url, timeout=timeout) as r:
+            out = fs.create(part, True)
             while block := r.read(1 << 20):
-                f.write(block)
-        os.replace(to + ".part", to)
-    return to
+                out.write(bytearray(block))
+            out.close()
+        fs.rename(part, to)
+    return to.toString() if "://" in folder else f"{folder}/{name}"
+
+
+def sample(spark: SparkSession, path: str, rows: int = 100_000, seed: int = 1) -> tuple[DataFrame, dict[str, str]]:
+    """A sampling scan for profiling: whole if the files have at most SAMPLE_WHOLE bytes, else a random share of rows that is expected to
+    keep `rows` of them; the number of rows is estimated from the prefix and the files' sizes, so nothing is counted first."""
+    df, types = read(spark, path)
+    where, fs = _hadoop(spark, path)
+    size, prefix = fs.getContentSummary(where).getLength(), prefix_of(path, spark)
+    if size <= SAMPLE_WHOLE:
+        return df, types
+    expected = size / max(1.0, len(prefix.encode()) / max(1, prefix.count("\n")))
+    return df.sample(False, min(1.0, rows / expected), seed), types
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """Rows of a file of any of the formats, and the types that its header names."""
-    kind = detect_format(prefix_of(path if os.path.isfile(path) else _first(path)))
+    kind = detect_format(prefix_of(path, spark))
     if kind == "csv":
         return read_csv(spark, path)
     if kind == "jsonl":

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from querylark.functions import values
 from querylark.operators.writes import latest
-from querylark.schema import SPARK, Schema
+from querylark.schema import JSON, SPARK, Schema
 
 COMMIT_INTERVAL = "2 seconds"
 
 
-def struct_of(schema: Schema) -> T.StructType:
-    kept = [f for f in schema.fields if not f.ghost]
-    return T.StructType([T.StructField(f.name, T.ArrayType(SPARK[f.type]) if f.many else SPARK[f.type]) for f in kept])
-
-
 def parsed(lines: DataFrame, schema: Schema) -> DataFrame:
-    """text and the document r; r is null for a line that is no object or has no id."""
-    doc = F.from_json("text", struct_of(schema), {"mode": "PERMISSIVE"})
-    good = F.try_parse_json(F.col("text")).isNotNull() & F.trim("text").startswith("{")
-    return lines.filter(F.trim("text") != "").select("*", F.when(good, doc).alias("r")).withColumn("r", F.when(F.col("r.id").isNotNull(), F.col("r")))
+    """text, the document r by declared types, and problem: why the line is refused, in which case r is null. A value that doesn't fit its
+    field refuses its line and is named; null and missing values are none. Blank lines are left out."""
+    own = lines.filter(F.trim("text") != "").withColumn("v", F.try_parse_json("text"))
+    kept = [f for f in schema.fields if not f.ghost]
+    values_, tests = [], [F.when(F.col("v").isNull() | ~F.trim("text").startswith("{"), F.lit("no JSON object"))]
+    for f in kept:
+        raw = F.try_variant_get(F.col("v"), f"$['{f.name}']", "variant")
+        there = raw.isNotNull() & ~F.is_variant_null(raw)
+        kind = F.schema_of_variant(raw)
+        if f.many:
+            several = F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("v"), f"$['{f.name}']", "array<variant>")).otherwise(F.array(raw))
+            value = F.transform(several, lambda e, t=f.type: values.json_value(e, t))
+            bad = F.exists(F.arrays_zip(several.alias("a"), value.alias("b")), lambda p: p["a"].isNotNull() & ~F.is_variant_null(p["a"]) & p["b"].isNull())
+        else:
+            value = values.json_value(raw, f.type)
+            said = F.try_variant_get(raw, "$", "string")
+            bad = (value.isNull() & ~F.coalesce(values.is_missing(said) | (F.trim(said) == ""), F.lit(False))) | (kind.rlike("^(OBJECT|ARRAY)") & F.lit(f.type != JSON))
+        shown = F.coalesce(F.to_json(raw), F.lit(""))
+        tests.append(F.when(there & bad, F.concat(F.lit(f"{f.name}: "), shown, F.lit(f" is no {f.type}"))))
+        values_.append(F.when(there, value).cast(T.ArrayType(SPARK[f.type]) if f.many else SPARK[f.type]).alias(f.name))
+    r = F.struct(*values_)
+    own = own.withColumn("r", r).withColumn("problem", F.coalesce(*tests, F.when(F.col("r.id").isNull() | (F.col("r.id").cast("string") == ""), F.lit("id: missing"))))
+    return own.withColumn("r", F.when(F.col("problem").isNull(), F.col("r"))).drop("v")
 
 
 def start(spark: SparkSession, source: str, log: str, rejected: str, checkpoint: str, schema: Schema, once: bool = False, interval: str = COMMIT_INTERVAL) -> StreamingQuery:
@@ -34,7 +49,7 @@ def start(spark: SparkSession, source: str, log: str, rejected: str, checkpoint:
         rows = parsed(batch, schema)
         good = rows.filter("r is not null").select("r.*", F.struct(F.lit(number).cast("long").alias("batch"), F.col("at"), F.monotonically_increasing_id().alias("line")).alias("seq"))
         good.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        rows.filter("r is null").select("text").write.mode("overwrite").text(f"{rejected}/batch={number}")
+        rows.filter("r is null").select("text", "problem").write.mode("overwrite").json(f"{rejected}/batch={number}")
 
     lines = spark.readStream.text(source).select(F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("at"))
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
