@@ -152,8 +152,9 @@ def terms_array(spaced: Column) -> Column:
 
 
 def count_terms(spaced: Column) -> Column:
-    """Number of terms, from lengths alone."""
-    return F.when(spaced == "", F.lit(0)).otherwise(((F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2 + 1).cast("int"))
+    """Number of terms, from lengths alone; gaps between elements are none."""
+    gaps = F.length(spaced) - F.length(F.replace(spaced, F.lit("\u0001"), F.lit("")))
+    return F.when(spaced == "", F.lit(0)).otherwise(((F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2 + 1).cast("int") - gaps)
 
 
 def count_of(spaced: Column, needle: str) -> Column:
