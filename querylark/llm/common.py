@@ -86,9 +86,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 
 
 def ranges(docs: DataFrame) -> int:
-    """How many ranges of ids: one for RANGE_BYTES of input as the plan estimates it, at least the shuffle partitions."""
+    """How many ranges of ids: one for RANGE_BYTES of input as the plan estimates it, at least the shuffle partitions. A plan that knows
+    no size (it then says exabytes) has its texts measured."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), 1 << 20))
+    if size > 1 << 52:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
