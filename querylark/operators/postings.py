@@ -94,7 +94,9 @@ def write(df: DataFrame, source, path: str) -> None:
     bare = [f.name for f in fields if not f.positions]
     at = F.when(F.col("field").isin(*bare), F.array().cast("array<bigint>")).otherwise(F.col("at")) if bare else F.col("at")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(min(-(-size // RANGE_BYTES), 1 << 20), spark.sparkContext.defaultParallelism)
+    if size > 1 << 52:  # a plan that knows no size says exabytes
+        size = 0
+    n = max(-(-size // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranged = one.select("field", "term", "id", "tf", "dl", at.alias("at")).repartitionByRange(n, "field", "term", "id")
     ranged.sortWithinPartitions("field", "term", "id").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     spark.read.schema(Postings.SCHEMA).parquet(f"{path}/postings").groupBy("field").agg(F.sum("tf").alias("total")).write.parquet(f"{path}/totals")
