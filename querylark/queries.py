@@ -43,15 +43,31 @@ def index(spark: SparkSession, sf: str, table: str) -> Index:
     return Index(table, df, id_from=keys, **{k: v for k, v in types.items() if k in df.columns})
 
 
-_inverted: dict[tuple[str, str, str], Index] = {}
+_inverted: dict[tuple[str, str, str], tuple[list[tuple[str, int, int]], Index]] = {}
+
+
+def files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of each file that the table is read from."""
+    spark, found = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        s = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, s.getLen(), s.getModificationTime()))
+    return found
 
 
 def inverted(spark: SparkSession, sf: str, table: str = "documents") -> Index:
-    """The index with its postings, which are built when a session first asks for them and then stay."""
-    key = (spark.sparkContext.applicationId, sf, table)
-    if key not in _inverted:
-        _inverted[key] = index(spark, sf, table).invert(scratch(spark))
-    return _inverted[key]
+    """The index with its postings, which are built when a session first asks for them and stay while the table is the same: its plan,
+    its schema and its files, with their lengths and times of change."""
+    key, now = (spark.sparkContext.applicationId, sf, table), index(spark, sf, table)
+    stamp = files(now.df)
+    if key in _inverted:
+        was, kept = _inverted[key]
+        if was == stamp and kept.schema == now.schema and kept.df.sameSemantics(now.df):
+            return kept
+    made = now.invert(scratch(spark))
+    _inverted[key] = (stamp, made)
+    return made
 
 
 def addresses(spark: SparkSession, sf: str) -> Index:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from querylark import queries
 from querylark.operators.search import Index
 from querylark.schema import Field, Ghost
 
@@ -56,3 +57,15 @@ def test_without_a_broadcast(both, monkeypatch):
 def test_decomposed_letters_are_found(spark):
     df = spark.createDataFrame([("1", "café"), ("2", "café")], "id string, t string")
     assert Index("d", df, t=Field("t", "text", tokenizer="raw_fold")).filter("t:cafe").agg(F.count("*")).first()[0] == 2
+
+
+def test_postings_follow_the_table(spark, tmp_path):
+    """A table that is written again under the same name is indexed again; one that stays is not."""
+    rows = lambda n: spark.range(n).selectExpr("id as doc_id", "'one of the many' as text", "'en' as lang", "'x' as source", "15 as n_chars")
+    at = f"{tmp_path}/documents.parquet"
+    rows(10).write.parquet(at)
+    assert queries.QUERIES["strict_mode"](spark, str(tmp_path)).count() == 10
+    first = queries.inverted(spark, str(tmp_path))
+    assert queries.inverted(spark, str(tmp_path)) is first
+    rows(30).write.mode("overwrite").parquet(at)
+    assert queries.QUERIES["strict_mode"](spark, str(tmp_path)).count() == 30
