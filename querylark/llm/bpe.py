@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from querylark.llm.common import _HEAD, CHUNK_BYTES, narrow, per_chunk, pieces, small_arrow_batches, texts
+from querylark.llm.common import _C1, _C2, _HEAD, CHUNK_BYTES, narrow, per_chunk, pieces, small_arrow_batches, texts
 
 # states of the automaton
 START, LETTER, NUMBER, OTHER, SPACES, PENDING, CON1, CON2 = range(8)
@@ -34,6 +34,8 @@ _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 _SPACE_CLASS = "".join(f"\\U{c:08x}" for c in _WHITE)
 _GAP = re.compile(f"(?<=[^{_SPACE_CLASS}])[{_SPACE_CLASS}]")
 PART = CHUNK_BYTES
+#: The table of short pieces has two to this power slots; a new piece takes the slot of an older one.
+SLOT_BITS = 18
 _CONTRACTIONS = {"s": 2, "t": 2, "m": 2, "d": 2, "re": 3, "ve": 3, "ll": 3}
 
 
@@ -186,6 +188,10 @@ class Vocabulary:
         self.size = np.array([len(t) for t in self.tokens], np.int64)
         self.place = np.cumsum(self.size) - self.size
         self.all = np.frombuffer(b"".join(self.tokens), np.uint8)
+        # slots of short pieces: bytes (the length in the last one), number of ids, 16 places for ids; behind them, those of a chunk's other pieces
+        self.low, self.high = (np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(2))
+        self.count = np.zeros(1 << SLOT_BITS, np.uint8)
+        self.pool = np.zeros((16 << SLOT_BITS) + CHUNK_BYTES, "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -311,8 +317,8 @@ class Vocabulary:
         return out
 
     def encode_parts(self, many: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Equal pieces of a chunk are looked up once: those of up to seven bytes are told apart by their bytes and
-        length in one integer, longer ones by the dictionary, so no hash is trusted."""
+        """Ids of each text. Pieces of up to 15 bytes are looked up side by side in a table of slots, where their bytes and length are
+        compared, in two integers; those that aren't there, and longer ones, by the dictionary. So no hash is trusted."""
         joined = "".join(many)
         ends = np.cumsum([len(t) for t in many])
         begins = np.concatenate(([0], ends[:-1]))
@@ -327,27 +333,42 @@ class Vocabulary:
         else:
             at = np.concatenate(([0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))))[starts]
         length = np.diff(np.append(at, len(raw)))
-        lanes = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), 0, (1,))
-        short = np.flatnonzero(length < 8)
-        size = length[short].astype(np.uint64)
-        key = lanes[at[short]] & _HEAD[length[short]] | size << np.uint64(56)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        number = np.empty(len(starts), np.int64)
-        number[short] = which
-        found = [joined[a:b] for a, b in zip(starts[short[first]].tolist(), stops[short[first]].tolist())]
-        long = np.flatnonzero(length >= 8)
+        lanes = np.ndarray(len(raw) + 9, "<u8", raw + bytes(16), 0, (1,))
+        short = length < 16
+        size = np.minimum(length, 15)
+        low = lanes[at] & _HEAD[np.minimum(size, 8)]
+        high = lanes[np.minimum(at + 8, len(raw))] & _HEAD[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
+        with np.errstate(over="ignore"):
+            h = low * _C1 ^ high * _C2
+            h = (h ^ h >> np.uint64(32)) * _C1
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+        known = short & (self.low[slot] == low) & (self.high[slot] == high)
+        count, begin = self.count[slot].astype(np.int64), slot * 16
+        new = np.flatnonzero(~known)
         index: dict[str, int] = {}
-        texts_ = [joined[a:b] for a, b in zip(starts[long].tolist(), stops[long].tolist())]
-        number[long] = [index.setdefault(t, len(index)) for t in texts_]
-        number[long] += len(found)
-        got = self.encode_pieces([*found, *index])
+        number = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip(starts[new].tolist(), stops[new].tolist())], np.int64)
+        got = self.encode_pieces(list(index))
         flat = np.frombuffer(b"".join(got), "<u4")
-        size = np.array([len(x) for x in got]) >> 2
-        count = size[number]
+        size = np.array([len(x) for x in got], np.int64) >> 2
+        place = np.cumsum(size) - size
+        pool, slots = self.pool, 16 << SLOT_BITS
+        if len(flat) > len(pool) - slots:  # not kept
+            pool = np.concatenate((pool[:slots], flat))
+        pool[slots : slots + len(flat)] = flat
+        count[new], begin[new] = size[number], place[number] + slots
         to = np.cumsum(count)
-        where = np.repeat((np.cumsum(size) - size)[number] - (to - count), count)
+        where = np.repeat(begin - (to - count), count)
         where += np.arange(len(where))
-        ids = flat[where]
+        ids = pool[where]
+        # the pieces that were new take their slots: each the first place where it stood, one a slot
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+        first = first[short[new[first]]]
+        own, one = np.unique(slot[new[first]], return_index=True)
+        first = first[one]
+        self.low[own], self.high[own], n = low[new[first]], high[new[first]], size[number[first]]
+        self.count[own] = n
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.pool[np.repeat(own * 16, n) + step] = flat[np.repeat(place[number[first]], n) + step]
         cut = np.concatenate(([0], to))[np.searchsorted(starts, np.append(begins, len(cp)))].tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 

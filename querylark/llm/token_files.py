@@ -31,21 +31,34 @@ FILE_IDS = 1 << 22
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """(blocks, 256) differences to (blocks, 32 * width) bytes."""
-    if not width:
-        return np.zeros((len(values), 0), np.uint8)
-    kind, bits = (">u2", 16) if width <= 16 else (">u4", 32)
-    raw = np.unpackbits(values.astype(kind).view(np.uint8).reshape(len(values), BLOCK, bits // 8), axis=2)
-    return np.packbits(raw[:, :, bits - width :].reshape(len(values), -1), axis=1)
+    """(blocks, 256) differences to (blocks, 32 * width) bytes, highest bits first: eight values fill `width` bytes."""
+    eights = np.ascontiguousarray(values.reshape(-1, 8).T)
+    out = np.zeros((len(values) * 32, width), np.uint8)
+    for k in range(width):
+        for j in range(8 * k // width, -(-8 * (k + 1) // width)):
+            beyond = (j + 1) * width - 8 * (k + 1)  # bits of the value behind this byte
+            out[:, k] |= (eights[j] >> np.uint32(beyond) if beyond >= 0 else eights[j] << np.uint32(-beyond)).astype(np.uint8)
+    return out.reshape(len(values), 32 * width)
 
 
 def _unpack(raw: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros((len(raw), BLOCK), np.uint32)
-    kind, bits = (">u2", 16) if width <= 16 else (">u4", 32)
-    full = np.zeros((len(raw), BLOCK, bits), np.uint8)
-    full[:, :, bits - width :] = np.unpackbits(raw, axis=1).reshape(len(raw), BLOCK, width)
-    return np.packbits(full, axis=2).reshape(len(raw), -1).view(kind).astype(np.uint32)
+    columns = np.ascontiguousarray(raw.reshape(-1, width).T)
+    kind = np.uint32 if width <= 24 else np.uint64
+    out = np.empty((len(raw) * 32, 8), np.uint32)
+    for j in range(8):
+        first, last = j * width // 8, ((j + 1) * width - 1) // 8
+        x = columns[first].astype(kind) & kind(0xFF >> (j * width & 7))
+        for k in range(first + 1, last):
+            x = x << kind(8) | columns[k]
+        if last > first:
+            rest = (j + 1) * width - 8 * last  # bits of the value in its last byte
+            x = x << kind(rest) | columns[last] >> np.uint8(8 - rest)
+        else:
+            x >>= kind(8 * (last + 1) - (j + 1) * width)
+        out[:, j] = x
+    return out.reshape(len(raw), BLOCK)
 
 
 def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:

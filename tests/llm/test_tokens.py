@@ -74,6 +74,32 @@ def test_op1(spark, texts, reference):
         assert (rows[d]["n_tokens"], rows[d]["ids_sha256"], rows[d]["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_short_pieces_come_from_the_slots(monkeypatch, texts, plain):
+    """Pieces of up to 15 bytes that were met go past the dictionary; with few slots they displace each other and the ids stay right."""
+    odd = ["a", "a\0", "a\0\0", "\0", "abcdefgh", "abcdefgh\0", "abcdefghijklmno", "abcdefghijklmnop", "abcdefghijklmno\0", "漢字漢字漢", "漢字漢字漢字", "x" * 2_000_000 + " y"]
+    many = [*odd, *odd_texts(), *texts.values()]
+    want = [e.ids for e in plain.encode_batch(many, add_special_tokens=False)]
+    v = bpe.Vocabulary(entry.PLAIN)
+    v.encode(["a word and another", "word a"])
+    monkeypatch.setattr(v, "encode_pieces", lambda pieces: [] if not pieces else pytest.fail(f"asked again: {pieces}"))
+    assert v.encode(["a word and another", "word a"])[0].tolist() == plain.encode("a word and another", add_special_tokens=False).ids
+    for bits in (3, 18):
+        monkeypatch.setattr(bpe, "SLOT_BITS", bits)
+        v = bpe.Vocabulary(entry.PLAIN)
+        for _ in range(2):
+            assert [x.tolist() for x in v.encode(many)] == want
+            assert all(v.encode([t])[0].tolist() == w for t, w in zip(many[:600], want))
+
+
+@pytest.mark.parametrize("width", range(33))
+def test_bits_of_every_width(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, (3, token_files.BLOCK), np.uint64).astype(np.uint32)
+    x[0] = (1 << width) - 1
+    raw = token_files._pack(x, width)
+    bits = "".join(f"{i:0{width}b}" for i in x.ravel().tolist()) if width else ""
+    assert raw.tobytes() == int(bits or "0", 2).to_bytes(len(bits) // 8, "big") and (token_files._unpack(raw, width) == x).all()
+
+
 def test_encode_then_decode_with_offsets(spark):
     df = spark.createDataFrame([(1, "naïve text's"), (2, None), (None, "x"), (1, "naïve text's")], "doc_id long, text string")
     encoded = bpe.encode(df, entry.MULTI)
