@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,10 @@ CHUNK_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 #: Bytes of input for each range of ids where an order over all rows is needed.
 RANGE_BYTES = 128 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
+_at: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("_scope", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,16 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    _made.append(f"{root}/querylark-{uuid.uuid4().hex}")
-    return _made[-1]
+    at = f"{root}/querylark-{uuid.uuid4().hex}"
+    _made.append(at)
+    if (scope := _scope.get()) is not None:
+        scope.append(at)
+    return at
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes the folders that operators have made in this process; for when their results are written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
     while _made:
-        path = hadoop(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,10 +71,39 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a table in the shared folder, read again. It outlives lost executors."""
+    """Cuts lineage: a table in the shared folder, read again. It outlives lost executors. Shuffle files go when it is written, not when
+    the driver happens to collect its garbage."""
     spark, at = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if was is None else spark.conf.set(SHUFFLE_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(at)
+    _at[out] = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() returned and nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, _at.pop(df))
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written; the folders that were made on the way are deleted."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        out = materialize(make())
+    finally:
+        _scope.reset(token)
+    for at in own[:-1]:
+        _delete(out.sparkSession, at)
+    if (scope := _scope.get()) is not None:
+        scope.append(own[-1])
+    return out
 
 
 def narrow(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

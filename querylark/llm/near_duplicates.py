@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylark.llm.common import chunks, materialize, mix, narrow, semi, shingle_hashes, small_arrow_batches, word_hashes
+from querylark.llm.common import chunks, discard, materialize, mix, narrow, semi, settled, shingle_hashes, small_arrow_batches, word_hashes
 
 HASHES = 64
 DISTANCE = 29
@@ -242,37 +242,46 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     document, linked with all that any of its texts is linked with. Rows with null doc_id are returned with null component and kept
     true. A very long text is one row: its set is held whole, some 16 bytes a word. Other columns are left out. An empty table gives no rows."""
     small_arrow_batches(docs.sparkSession)
-    own = narrow(docs, id_col, text_col)
-    table = materialize(signatures(own, k))
-    filled = table.filter(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
+    return settled(lambda: _deduplicate(narrow(docs, id_col, text_col), k, percent))
+
+
+def _deduplicate(own: DataFrame, k: int, percent: int) -> DataFrame:
+    """deduplicate(); signatures and sketches are on disk once, in reps or in labelled, and go before the last texts are compared."""
+    wide = materialize(signatures(own, k))
+    filled = wide.filter(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
     identity = ["set_a", "set_b", "n_shingles"]
     if not filled.groupBy("doc_id").agg((F.min(F.struct(*identity)) < F.max(F.struct(*identity))).alias("several")).filter("several").isEmpty():
+        discard(wide)
         return by_rows(own, k, percent)
     reps = materialize(filled.groupBy(*identity).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
+    table, sets = materialize(wide.select("doc_id", *identity)), materialize(reps.select("doc_id", *identity))
+    discard(wide)
     # round 1: each member of a group meets the smallest
     pivots = keyed(reps).groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
     pivots = materialize(pivots)
     stars = keyed(reps).join(pivots, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     first = materialize(near(stars.distinct(), reps))
-    links = materialize(confirmed(first, own, k, percent))
+    links = settled(lambda: confirmed(first, own, k, percent))
     if not links.isEmpty():
-        found = components(links)
+        found = settled(lambda: components(links))
         labelled = reps.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     else:
         labelled = reps.withColumn("component", F.col("doc_id"))
     labelled = materialize(labelled.select("doc_id", "component", "n_shingles", "signature", "sketch"))
+    discard(reps)
     # round 2: what is in one group but not yet in one component
     member = keyed(labelled).join(pivots.select("key", "size"), "key").join(labelled.select("doc_id", "component"), "doc_id")
     member = materialize(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     groups = member.join(mixed, "key").join(labelled.select("doc_id", "signature", "sketch", "n_shingles"), "doc_id")
     second = materialize(across(groups, percent).join(first, ["a", "b"], "left_anti"))
-    more = materialize(confirmed(second, own, k, percent))
+    discard(labelled, member, pivots, first)
+    more = settled(lambda: confirmed(second, own, k, percent))
     if not more.isEmpty():
         links = links.union(more)
-    found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-    ends = reps.join(found, "doc_id", "left").select(*identity, F.coalesce("component", "doc_id").alias("component_id"))
-    by_id = filled.join(ends, identity).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found = settled(lambda: components(links)) if not links.isEmpty() else links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    ends = sets.join(found, "doc_id", "left").select(*identity, F.coalesce("component", "doc_id").alias("component_id"))
+    by_id = table.filter(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull()).join(ends, identity).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = table.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

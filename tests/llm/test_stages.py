@@ -1,6 +1,11 @@
 """Stages of the pipeline over null and repeated doc_ids."""
 
+import os
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from querylark.llm import common, near_duplicates
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -28,3 +33,21 @@ def test_every_stage_takes_them(spark):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, "").collect()
         assert stage(spark, docs.filter("false"), "").collect() == [], name
+
+
+def test_tables_between_steps_are_deleted(spark):
+    """Near-duplicates leave their result on disk, and stages the rows they number and the numbers they drop; an outer step keeps it as long as it needs it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def left(make):
+        before = len(common._made)
+        rows = make().collect()
+        return sum(os.path.isdir(at.removeprefix("file:")) for at in common._made[before:]), rows
+
+    n, rows = left(lambda: near_duplicates.deduplicate(docs, 5))
+    assert n == 1 and len(rows) == docs.count()
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" and one more"))))  # goes by rows
+    n, rows = left(lambda: near_duplicates.deduplicate(twice, 5))
+    assert n == 1 and len(rows) == 2 * docs.count()
+    assert left(lambda: STAGE["quality"](spark, docs, ""))[0] == 2
+    assert left(lambda: STAGE["near_duplicates"](spark, docs, ""))[0] == 2
