@@ -15,6 +15,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.dataset as ds
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def read_here(df: DataFrame, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a table that materialize() returned, of so many rows: the driver's Python reads the files, nothing passes the JVM's heap."""
+    fs, at = filesystem(_at[df])
+    yield from ds.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=rows, batch_readahead=0, fragment_readahead=0, use_threads=False)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() returned and nothing reads any more."""
     for df in tables:

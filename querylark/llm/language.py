@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylark.llm.bpe import C_L, class_table
-from querylark.llm.common import mix, narrow, per_chunk, pieces, semi_sized, small_arrow_batches, texts
+from querylark.llm.common import discard, materialize, mix, narrow, per_chunk, pieces, read_here, semi_sized, small_arrow_batches, texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -131,7 +131,8 @@ def counted(text: str, change: Callable[[str], str] = str) -> tuple[np.ndarray,
 
 def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, text_col: str, lang_col: str) -> list[tuple[str | None, np.ndarray, np.ndarray, bool]]:
     """(language, buckets, shares, whether for calibration) of at most `rows` labelled documents, by a hash of doc_id.
-    For every other one also one unlike() it, without language."""
+    For every other one also one unlike() it, without language. They are held once, in six bytes a subword, and come from files: collected
+    rows would be in the driver several times over."""
     small_arrow_batches(docs.sparkSession)
     own = narrow(docs if eligible is None else docs.filter(eligible), id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -157,9 +158,12 @@ def sample(docs: DataFrame, rows: int, eligible: Column | None, id_col: str, tex
         return {"lang": langs + [None] * len(made), "bucket": b, "share": s, "later": late + [late[i] for i in made]}
 
     later = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(5)) == 0
-    got = chosen.select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(4 * max(rows, LEAST_ROWS * known)).collect()
-    data = [(r["lang"], np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4"), r["later"]) for r in got]
-    return sorted((d for d in data if len(d[1])), key=lambda d: (d[0] or "", d[1].tobytes(), d[2].tobytes()))
+    picked = chosen.select("text", "lang", later.alias("later")).mapInArrow(per_chunk(run, schema, most=CHUNK), "lang string, bucket binary, share binary, later boolean").limit(4 * max(rows, LEAST_ROWS * known))
+    table = materialize(picked)
+    got = [r for batch in read_here(table) for r in zip(*(batch.column(c).to_pylist() for c in schema.names))]
+    discard(table)
+    got = sorted((r for r in got if r[1]), key=lambda r: (r[0] or "", r[1], r[2]))
+    return [(lang, np.frombuffer(bucket, "<u2"), np.frombuffer(share, "<f4"), late) for lang, bucket, share, late in got]
 
 
 def fit(data: list[tuple[str | None, np.ndarray, np.ndarray, bool]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:

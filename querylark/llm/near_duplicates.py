@@ -35,6 +35,8 @@ BLOCK = 1024
 SKETCH, TOLERANCE = 1024, 5.5
 #: Partners of a text that one task confirms; more are split.
 PARTNERS = 256
+#: Links that one task joins into components; more are joined in steps.
+LINKS = 1_000_000
 _rng = np.random.default_rng(6)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -171,9 +173,34 @@ def confirmed(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in the links a[i]-b[i], and the smallest that each reaches: roots are hung on smaller ones until no link has two."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while (differ := root[x] != root[y]).any():
+        x, y = x[differ], y[differ]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    return ids, ids[root]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component (its smallest reachable id) of all ids in the links (a, b): labels take the least of their
-    neighbours' and then their label's label, until nothing changes; each step is a table in the shared folder."""
+    """doc_id, component (its smallest reachable id) of all ids in the links (a, b), which are read twice.
+
+    Up to LINKS are joined in one task: each step by joins would leave plans, broadcast tables and threads in the driver. Of more, labels
+    take the least of their neighbours' and then their label's label, until nothing changes; each step is a table in the shared folder."""
+    links = links.select("a", "b")
+    if links.limit(LINKS + 1).count() <= LINKS:
+        schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held := [x for x in batches if x.num_rows]:
+                ends = [np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in reachable(*ends)], schema=schema)
+
+        return links.repartition(1).mapInArrow(run, "doc_id long, component long")
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("doc_id"), "label"))
     while True:
@@ -294,7 +321,7 @@ def by_rows(own: DataFrame, k: int, percent: int) -> DataFrame:
     known = materialize(rows.select("row", "doc_id").join(found, "row"))
     same = known.groupBy("doc_id").agg(F.min("row").alias("first"))
     edges = known.select(F.col("row").alias("a"), F.col("component").alias("b")).union(known.join(same, "doc_id").select("row", "first"))
-    ends = components(edges).join(known.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    ends = components(materialize(edges)).join(known.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
     ends = materialize(ends.select("id", "component").distinct())
     least = ends.groupBy("component").agg(F.min("id").alias("component_id"))
     of = ends.join(least, "component").select(F.col("id").alias("doc_id"), "component_id")
