@@ -151,12 +151,21 @@ def terms_array(spaced: Column) -> Column:
     return F.filter(F.split(F.trim(spaced), r"\s+"), lambda t: (t != "") & (t != "\u0001"))
 
 
+def once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c), with c evaluated once for a row, however often fn names it; conditions keep Spark from seeing that itself."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def count_terms(spaced: Column) -> Column:
     """Number of terms, from lengths alone; gaps between elements are none."""
-    gaps = F.length(spaced) - F.length(F.replace(spaced, F.lit("\u0001"), F.lit("")))
-    return F.when(spaced == "", F.lit(0)).otherwise(((F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2 + 1).cast("int") - gaps)
+
+    def count(s: Column) -> Column:
+        gaps = F.length(s) - F.length(F.replace(s, F.lit("\u0001"), F.lit("")))
+        return F.when(s == "", F.lit(0)).otherwise(((F.length(s) - F.length(F.replace(s, F.lit("  "), F.lit("")))) / 2 + 1).cast("int") - gaps)
+
+    return once(spaced, count)
 
 
 def count_of(spaced: Column, needle: str) -> Column:
     """How often a needle such as ' a ' or ' a  b ' stands in analysed text."""
-    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+    return once(spaced, lambda s: ((F.length(s) - F.length(F.replace(s, F.lit(needle), F.lit("")))) / len(needle)).cast("int"))

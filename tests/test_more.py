@@ -50,3 +50,15 @@ def test_lists_keep_elements_apart(spark):
     row, none = df.select(s.alias("s"), F.contains(s, F.lit(" b  c ")).alias("across"), F.contains(s, F.lit(" a  b ")).alias("inside"), count_of(t, " a ").alias("n"), count_terms(t).alias("k")).collect()
     assert row["s"] == f" a  b {GAP} c " and (row["across"], row["inside"], row["n"], row["k"]) == (False, True, 3, 3)
     assert none["s"] == "" and none["k"] == 0
+
+
+def test_texts_are_analysed_once_to_count_terms(spark):
+    from pyspark.sql import functions as F
+
+    from querylark.analysis.analyzers import TOKENIZERS, count_of, count_terms
+
+    df = spark.createDataFrame([("One two,  two",), ("",), (None,), ("...",)], "t string")
+    times = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    analysed = TOKENIZERS["default"].column(F.col("t"))
+    assert times(count_terms(analysed)) == times(count_of(analysed, " two ")) == times(analysed)
+    assert [tuple(r) for r in df.select(count_terms(analysed), count_of(analysed, " two ")).collect()] == [(3, 2), (0, 0), (None, None), (0, 0)]
