@@ -69,3 +69,31 @@ def test_postings_follow_the_table(spark, tmp_path):
     assert queries.inverted(spark, str(tmp_path)) is first
     rows(30).write.mode("overwrite").parquet(at)
     assert queries.QUERIES["strict_mode"](spark, str(tmp_path)).count() == 30
+
+
+def shuffled_rows(spark) -> int:
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+def test_terms_are_shuffled_and_not_tokens(spark, tmp_path, monkeypatch):
+    from querylark.operators import postings
+
+    monkeypatch.setattr(postings, "SAMPLED", 10, raising=False)
+    df = spark.range(2000).selectExpr("cast(id as string) as id", "concat_ws(' ', transform(sequence(0, 199), i -> concat('w', (id + i) % 50))) as t").repartition(4).cache()
+    assert df.count() == 2000
+    began = shuffled_rows(spark)
+    i = Index("many", df, t="text").invert(f"{tmp_path}/many")
+    assert shuffled_rows(spark) - began < 20_000  # of 400,000 tokens and 100,000 postings
+    assert i.inverted.table.filter("field = 't'").agg(F.sum("tf"), F.count("*"), F.sum("dl")).first()[:] == (400_000, 100_000, 20_000_000)
+    assert i.inverted.documents_with([("t", "w7"), ("t", "w8")]) == {("t", "w7"): 2000, ("t", "w8"): 2000} and i.inverted.totals["t"] == 400_000
+    assert i.filter('t:"w7 w8 w9"').count() == 2000 and i.filter('t:"w7 w9"').count() == 0
+
+
+def test_a_frequent_term_is_spread(spark, tmp_path):
+    df = spark.range(300).selectExpr("cast(id as string) as id", "concat('the the the the the t', id) as t").repartition(6)
+    table = Index("spread", df, t="text").invert(f"{tmp_path}/spread").inverted.table
+    files = table.filter("term = 'the'").select(F.input_file_name()).distinct().count()
+    assert files > 1 and table.filter("term = 'the'").agg(F.sum("tf"), F.count_distinct("id")).first()[:] == (1500, 300)
