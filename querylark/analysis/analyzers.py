@@ -12,13 +12,17 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from querylark.analysis import cjk, stemmers
 
 MOST_BYTES = 128
+#: Bytes of texts that are held as Python strings at once, and mapped terms in a generation, in each Python worker.
+PART_BYTES, MOST_SEEN = 1 << 20, 200_000
 GAP = " \u0001 "
 
 
@@ -63,31 +67,49 @@ def fold_column(c: Column) -> Column:
     return F.regexp_replace(c, "(?<=[a-zA-Z])[\\u0300-\\u036f]+", "")  # marks of decomposed letters
 
 
-def _by_term(fn: Callable[[str], str]) -> Callable[[Column], Column]:
-    """An Arrow function that maps every term of analysed text, each distinct one once in a worker."""
-
-    @F.pandas_udf("string")
-    def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, str] = {}
+def _mapped(fn: Callable[[str], str]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Maps every term of analysed texts, a frequent one once in a task. A batch is mapped in parts of PART_BYTES; of terms two generations
+    of at most MOST_SEEN are kept, so memory doesn't grow with the texts."""
 
-        def one(s: str | None) -> str | None:
+    def part(texts: pa.Array, seen: list[dict[str, str]]) -> pa.Array:
+        new, old = seen
+        done = []
+        for s in texts.to_pylist():
             if not s:
-                return s
+                done.append(s)
+                continue
             out = []
             for t in s.split():
-                if (v := seen.get(t)) is None:
-                    v = seen[t] = fn(t)
-                    if len(seen) > 500_000:
-                        seen.clear()
+                if (v := new.get(t)) is None:
+                    if (v := old.get(t)) is None:
+                        v = fn(t)
+                    if len(new) >= MOST_SEEN:
+                        old, new = new, {}
+                    new[t] = v
                 out.append(v)
-            return " " + "  ".join(out) + " "
+            done.append(" " + "  ".join(out) + " ")
+        seen[:] = new, old
+        return pa.array(done, pa.string())
 
+    def mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen: list[dict[str, str]] = [{}, {}]
         for b in batches:
-            yield b.map(one)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False))
+            parts, first = [], 0
+            while first < len(b):
+                past = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PART_BYTES, "right")))
+                parts.append(part(b[first:past], seen))
+                first = past
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return mapped
 
 
+def _by_term(fn: Callable[[str], str]) -> Callable[[Column], Column]:
+    """An Arrow function that maps every term of analysed text."""
+    return F.arrow_udf(_mapped(fn), "string")
+
+
 @dataclass(frozen=True)
 class Analyzer:
     name: str

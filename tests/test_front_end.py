@@ -148,3 +148,17 @@ def test_schema_rules():
     assert not b.get("n").indexed and b.version == 2
     assert b.learn(Schema((Field("n", "f64"),))).get("n").type == "f64"
     assert a.thumbprint() != b.thumbprint() == Schema(tuple(reversed(b.fields))).thumbprint()
+
+
+def test_terms_are_mapped_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    from querylark.analysis import analyzers
+
+    seen = []
+    monkeypatch.setattr(analyzers, "PART_BYTES", 40, raising=False)
+    monkeypatch.setattr(analyzers, "MOST_SEEN", 5, raising=False)
+    texts = [" a  b  a ", None, "", *[f" t{i}  b " for i in range(50)], " a " * 40]
+    got = [x for out in analyzers._mapped(lambda t: seen.append(t) or t.upper())(iter([pa.array(texts[:20]), pa.array(texts[20:]), pa.array([], pa.string())])) for x in out.to_pylist()]
+    assert got == [t and " " + "  ".join(t.upper().split()) + " " for t in texts]
+    assert seen.count("b") == 1 and 1 <= seen.count("a") <= 2
