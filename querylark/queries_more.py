@@ -141,7 +141,7 @@ def json_values_by_type(spark, sf):
 @query("SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS n FROM events GROUP BY user_id")
 def ndjson_stream(spark, sf):
     source, log, bad, ck = (scratch(spark, "querylark-stream") for _ in range(4))
-    last = read(spark, sf, "events").repartition(1).sortWithinPartitions("event_id")
+    last = read(spark, sf, "events").repartition("user_id").sortWithinPartitions("event_id")  # a user's events are in one file, in order
     last.select(F.concat(F.lit('{"id": "'), F.col("user_id").cast("string"), F.lit('", "n": '), F.col("event_id").cast("string"), F.lit("}")).alias("value")).write.text(source)
     ingest.start(spark, source, log, bad, ck, Schema((Field("id", "string"), Field("n", "i64"))), once=True).awaitTermination()
     return ingest.snapshot(spark, log).select("id", "n")

@@ -3,6 +3,7 @@ stream's checkpoint takes the place of a write-ahead log, the trigger that of a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +46,15 @@ def start(spark: SparkSession, source: str, log: str, rejected: str, checkpoint:
     """Follows a folder of NDJSON files. A batch that is written again after a failure overwrites its own folder, so rows come once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        # ties within a batch: the later file and line wins
-        rows = parsed(batch, schema)
-        good = rows.filter("r is not null").select("r.*", F.struct(F.lit(number).cast("long").alias("batch"), F.col("at"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+        # ties within a batch: the later file and line wins; lines are numbered within a split, and splits come by size
+        rows = parsed(batch.withColumn("line", F.monotonically_increasing_id()), schema).persist(StorageLevel.DISK_ONLY)  # each line is parsed once for both folders
+        good = rows.filter("r is not null").select("r.*", F.struct(F.lit(number).cast("long").alias("batch"), "at", "path", "start", "line").alias("seq"))
         good.write.mode("overwrite").parquet(f"{log}/batch={number}")
         rows.filter("r is null").select("text", "problem").write.mode("overwrite").json(f"{rejected}/batch={number}")
+        rows.unpersist()
 
-    lines = spark.readStream.text(source).select(F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("at"))
+    place = [F.col(f"_metadata.{n}").alias(a) for n, a in (("file_modification_time", "at"), ("file_path", "path"), ("file_block_start", "start"))]
+    lines = spark.readStream.text(source).select(F.col("value").alias("text"), *place)
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return writer.start()

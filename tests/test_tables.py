@@ -140,6 +140,18 @@ def test_streaming_ingest(spark, tmp_path):
     assert spark.read.text(bad).count() == 2
 
 
+def test_of_files_of_one_time_the_later_wins(spark, tmp_path):
+    src, log, bad, ck = (f"{tmp_path}/{n}" for n in ("src", "log", "bad", "ck"))
+    os.mkdir(src)
+    for name, n, more in (("1.ndjson", 1, 0), ("2.ndjson", 2, 5000)):
+        with open(f"{src}/{name}", "w") as f:
+            f.write("".join(json.dumps({"id": i, "n": n}) + "\n" for i in ["a", *map(str, range(more))]))
+        os.utime(f"{src}/{name}", (1_700_000_000, 1_700_000_000))
+    ingest.start(spark, src, log, bad, ck, Schema((Field("id", "string"), Field("n", "i64"))), once=True).awaitTermination()
+    got = ingest.snapshot(spark, log)
+    assert got.count() == 5001 and got.filter("id = 'a'").first()["n"] == 2
+
+
 def test_retention(spark):
     df = spark.sql("select id, cast(d as timestamp) d from values (1, '2024-01-01'), (2, '2025-01-01'), (3, null) t(id, d)")
     assert [r["id"] for r in retention.prune(df, "d", "2024-06-01").orderBy("id").collect()] == [2, 3]
